@@ -67,7 +67,7 @@ def mean_median(articles: DataFrame, keys: Sequence[str], value: str = "citedby_
     )
     return cells.groupBy(*keys).agg(
         (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_citations"),
-        F.percentile("v", 0.5, "c").alias("median_citations"),
+        F.percentile("v", 0.5, F.col("c")).alias("median_citations"),
     )
 
 

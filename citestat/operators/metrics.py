@@ -95,7 +95,7 @@ def _std() -> Column:
 
 def quantile(p: float) -> Column:
     """Exact quantile with linear interpolation over a histogram."""
-    return F.percentile("v", p, "c")
+    return F.percentile("v", p, F.col("c"))
 
 
 def profile_of_histogram(hist: DataFrame, keys: Sequence[str], metrics: Sequence[str] | None = None,
