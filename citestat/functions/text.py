@@ -106,6 +106,18 @@ def _folding_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single) + "".join(dropped), "".join(single.values()), expansions
 
 
+def _cover(characters: list[str], gap: int = 40) -> str:
+    """Character class of a few ranges around the characters (a quick test, not exact)."""
+    codes = sorted(map(ord, characters))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def normalize_title(c: Column | str) -> Column:
     """Conservative title key: lower case, accents folded, ``&`` spelled out, only a-z and 0-9.
 
@@ -113,7 +125,7 @@ def normalize_title(c: Column | str) -> Column:
     """
     source, target, expansions = _folding_tables()
     s = F.lower(_col(c).cast("string"))
-    expand_class = "[" + "".join(expansions) + "]"
+    expand_class = _cover(list(expansions))
     lookup = F.create_map(*[F.lit(x) for kv in expansions.items() for x in kv])
     expanded = F.array_join(
         F.transform(F.split(s, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from citestat.plans import catalog_compare, catalog_counts, catalog_tables, catalog_text  # noqa: F401
+from citestat.plans import catalog_compare, catalog_counts, catalog_link, catalog_tables, catalog_text  # noqa: F401
 from citestat.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -148,17 +148,61 @@ nm AS (
 
 
 # ---- documents as two article sources ---------------------------------------------------
+#
+# The title is the first sentence, the year follows from the first word, the DOI is a hash of
+# the text that a third of the documents lack, the venue is the language. Which index holds a
+# document follows from its source name.
 
 
 def document_articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a title (first sentence), a year, and a DOI stand-in (hash of the text)."""
     docs = read_table(spark, sf, "documents")
     title = F.split(F.split("text", "\n")[0], r"\.")[0]
-    key = F.col("doc_id").cast("string")
     doi = F.when(F.col("n_chars") % 3 != 0, F.concat(F.lit("10.5/"), F.md5("text")))
+    first_word = F.length(F.split("text", " ")[0])
     return docs.select(
-        "doc_id", "lang", "source", "text", title.alias("title"), doi.alias("doi"),
-        (F.ascii(F.substring("lang", 1, 1)) * 256 + F.ascii(F.substring("lang", 2, 1))).cast("bigint").alias("venue_internal_id"),
-        (F.lit(2000) + F.length(F.split("text", " ")[0])).cast("string").alias("pub_date"),
-        key.alias("key"),
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"),
+        F.length("lang").cast("bigint").alias("_l"),
+        (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("bigint").alias("venue_internal_id"),
+        F.col("lang").alias("venue"), title.alias("title"), doi.alias("doi"),
+        (F.lit(2000) + F.least(first_word, F.lit(99))).cast("string").alias("pub_date"),
+        F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 7).cast("string")).alias("citedby_count"),
+        (F.col("source") < "src2").alias("in_a"), "n_chars",
+    ).drop("_l")
+
+
+def articles_a(spark: SparkSession, sf: str) -> DataFrame:
+    """Open-index layout of the documents of one group of sources."""
+    return document_articles(spark, sf).filter("in_a").select(
+        F.col("key").alias("article_omid"), "venue_internal_id", F.col("venue").alias("venue_name"), "title",
+        "pub_date",
+        F.concat_ws(" ", F.concat(F.lit("omid:br/"), "key"), F.concat(F.lit("doi:"), "doi")).alias("id"),
+        "citedby_count",
     )
+
+
+def articles_b(spark: SparkSession, sf: str) -> DataFrame:
+    """Second-index layout of the documents of the other sources."""
+    return document_articles(spark, sf).filter(~F.col("in_a")).select(
+        F.col("key").alias("eid"), "venue_internal_id", F.upper("venue").alias("publication_name"), "title",
+        F.concat(F.lit("https://doi.org/"), F.upper("doi")).alias("doi"),
+        F.col("pub_date").alias("cover_date"), "citedby_count",
+    )
+
+
+TITLE_SQL = "string_split(string_split(text, chr(10))[1], '.')[1]"
+
+
+def linkage_sql(title_norm) -> str:
+    """CTEs ``a`` and ``b``: both prepared sources; ``title_norm`` writes the title key."""
+    return f"""
+docs AS (
+  SELECT lpad(doc_id::VARCHAR, 12, '0') AS key, ascii(lang) * 256 + ascii(substr(lang, 2, 1)) AS venue_internal_id,
+         lang AS venue, {TITLE_SQL} AS title,
+         CASE WHEN n_chars % 3 <> 0 THEN '10.5/' || md5(text) END AS doi,
+         2000 + least(length(string_split(text, ' ')[1]), 99) AS year,
+         coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 0)::DOUBLE AS cites, source < 'src2' AS in_a, n_chars
+  FROM documents),
+a AS (SELECT key, venue_internal_id::BIGINT AS venue_internal_id, venue, title, {title_norm('title')} AS title_norm, doi,
+      year::BIGINT AS year, cites, n_chars FROM docs WHERE in_a),
+b AS (SELECT key, venue_internal_id::BIGINT AS venue_internal_id, upper(venue) AS venue, title, {title_norm('title')} AS title_norm, doi,
+      year::BIGINT AS year, cites, n_chars FROM docs WHERE NOT in_a)"""
