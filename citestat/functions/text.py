@@ -126,7 +126,9 @@ def normalize_title(c: Column | str) -> Column:
     source, target, expansions = _folding_tables()
     s = F.lower(_col(c).cast("string"))
     expand_class = _cover(list(expansions))
-    lookup = F.create_map(*[F.lit(x) for kv in expansions.items() for x in kv])
+    # one foldable expression instead of hundreds of literals
+    entries = F.lit("|".join(f"{ch}={text}" for ch, text in expansions.items()))
+    lookup = F.str_to_map(entries, F.lit("[|]"), F.lit("="))
     expanded = F.array_join(
         F.transform(F.split(s, ""), lambda ch: F.coalesce(F.try_element_at(lookup, ch), ch)), ""
     )

@@ -75,10 +75,10 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10,
     between rounds; the others contribute a constant that is added up once.
     """
     deg = degrees(edges)
-    share = deg.select(
-        F.col("node").alias("citing"), (F.lit(alpha) / F.col("out_degree")).alias("w"),
+    share = deg.filter("out_degree > 0").select(
+        F.col("node").alias("citing"), F.try_divide(F.lit(alpha), F.col("out_degree")).alias("w"),
         (F.col("in_degree") > 0).alias("live"),
-    ).filter("w IS NOT NULL")
+    )
     weighted = edges.join(share, "citing")
     constant = (
         weighted.groupBy("cited")

@@ -386,6 +386,7 @@ class Linkage:
 
     doi: DataFrame
     title: DataFrame
+    candidates: DataFrame
     fuzzy: DataFrame
     review: DataFrame
     manual: DataFrame | None
@@ -410,7 +411,7 @@ def link_sources(a: DataFrame, b: DataFrame, reviewed: DataFrame | None = None,
     manual = match_manual(reviewed, a, b) if reviewed is not None else None
     stages = [doi, title, fuzzy] + ([manual] if manual is not None else [])
     matches = save_and_reload(merge_stages(*stages), "matches")
-    return Linkage(doi, title, fuzzy, review, manual, matches, master_table(matches, a, b))
+    return Linkage(doi, title, resolved, fuzzy, review, manual, matches, master_table(matches, a, b))
 
 
 def linkage_summary(a: DataFrame, b: DataFrame, link: Linkage) -> DataFrame:

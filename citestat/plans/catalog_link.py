@@ -193,18 +193,15 @@ def exact_master(spark, sf):
 # ---- fuzzy stage (no SQL form: rows only, tested against a sequential model) -------------
 
 
-def fuzzy_resolved(spark, sf):
+def linked(spark, sf, with_manual=False):
     a, b = sources(spark, sf)
-    doi = link.match_doi(a, b)
-    a, b = link.without_matched(a, b, doi)
-    a, b = link.without_matched(a, b, link.match_title_year(a, b))
-    return link.resolve_fuzzy(link.fuzzy_candidates(a, b)), b
+    return link.link_sources(a, b, reviewed(spark, sf) if with_manual else None)
 
 
 @register("J4_blocked_fuzzy_join")
 def fuzzy_join(spark, sf):
     return rounded(
-        fuzzy_resolved(spark, sf)[0].select(
+        linked(spark, sf).candidates.select(
             "article_id_oc", "article_id_scopus", "best_score", "second_score", "score_gap", "accepted"
         )
     )
@@ -212,19 +209,18 @@ def fuzzy_join(spark, sf):
 
 @register("L5_fuzzy_stage")
 def fuzzy_stage(spark, sf):
-    return rounded(link.fuzzy_matches(*fuzzy_resolved(spark, sf)).select("article_id_oc", "article_id_scopus", "fuzzy_score"))
+    return rounded(linked(spark, sf).fuzzy.select("article_id_oc", "article_id_scopus", "fuzzy_score"))
 
 
 @register("L6_review_queue")
 def review_queue(spark, sf):
-    queue = link.review_queue(*fuzzy_resolved(spark, sf))
+    queue = linked(spark, sf).review
     return rounded(queue.orderBy(F.desc("best_score"), F.desc("score_gap"), "article_id_oc"))
 
 
 @register("L9_master_of_all_stages")
 def full_master(spark, sf):
-    a, b = sources(spark, sf)
-    return link.link_sources(a, b, reviewed(spark, sf)).master
+    return linked(spark, sf, with_manual=True).master
 
 
 @register("A38_linkage_summary")
