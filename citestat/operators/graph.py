@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from citestat.operators.tables import top_n
-from citestat.session import discard, save_and_reload
+from citestat.session import discard, kept_by, save_and_reload
 
 
 def edge_table(citations: DataFrame) -> DataFrame:
@@ -85,8 +85,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10,
         .agg(F.sum(F.when(~F.col("live"), F.col("w")).otherwise(0.0)).alias("base"))
         .select(F.col("cited").alias("node"), (F.col("base") + 1).alias("base"))
     )
-    constant = save_and_reload(constant, "rank-base")
-    live = save_and_reload(weighted.filter("live").select("citing", "cited", "w"), "rank-edges")
+    base = save_and_reload(constant, "rank-base")
+    constant = kept_by(base, "node")
+    live = kept_by(
+        save_and_reload(weighted.filter("live").select("citing", "cited", "w"), "rank-edges"), "citing"
+    )
 
     def step(y: DataFrame) -> DataFrame:
         flow = (
@@ -97,13 +100,13 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10,
             "node", (F.col("base") + F.coalesce("flow", F.lit(0.0))).alias("y")
         )
 
-    current = constant.withColumnRenamed("base", "y")
+    current = base.withColumnRenamed("base", "y")
     saved = None
     for _ in range(0, max_rounds, rounds_per_check):
-        previous = current
-        for i in range(rounds_per_check):
-            previous, current = current, step(current)
-        both = current.join(previous.withColumnRenamed("y", "y0"), "node")
+        start = current
+        for _ in range(rounds_per_check):
+            current = step(current)
+        both = current.join(start.withColumnRenamed("y", "y0"), "node")
         kept = save_and_reload(both, "rank")
         change = kept.agg(
             F.try_divide(F.sum(F.abs(F.col("y") - F.col("y0"))), F.sum("y"))
@@ -114,6 +117,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10,
         saved = kept
         if change is None or change < tolerance:
             break
+    live.unpersist()
+    constant.unpersist()
     ranked = deg.select("node").join(current, "node", "left").select(
         "node", F.coalesce("y", F.lit(1.0)).alias("y")
     )
@@ -130,8 +135,9 @@ def hits(edges: DataFrame, tolerance: float = 1e-9, max_rounds: int = 1000,
     block is saved.
     """
     edges = save_and_reload(edges, "hits-edges")
+    by_citing, by_cited = kept_by(edges, "citing"), kept_by(edges, "cited")
 
-    def authority_of(hub: DataFrame) -> DataFrame:
+    def authority_of(hub: DataFrame, edges: DataFrame = by_citing) -> DataFrame:
         return (
             edges.join(hub, edges["citing"] == hub["node"])
             .groupBy("cited").agg(F.sum("h").alias("a")).select(F.col("cited").alias("node"), "a")
@@ -139,7 +145,7 @@ def hits(edges: DataFrame, tolerance: float = 1e-9, max_rounds: int = 1000,
 
     def hub_of(authority: DataFrame) -> DataFrame:
         return (
-            edges.join(authority, edges["cited"] == authority["node"])
+            by_cited.join(authority, by_cited["cited"] == authority["node"])
             .groupBy("citing").agg(F.sum("a").alias("h")).select(F.col("citing").alias("node"), "h")
         )
 
@@ -162,7 +168,9 @@ def hits(edges: DataFrame, tolerance: float = 1e-9, max_rounds: int = 1000,
         saved = kept
         if change < tolerance:
             break
-    authority = authority_of(hub)
+    by_citing.unpersist()
+    by_cited.unpersist()
+    authority = authority_of(hub, edges)
     totals = hub.agg(F.sum("h").alias("_h")).join(F.broadcast(authority.agg(F.sum("a").alias("_a"))))
     return (
         nodes.join(hub, "node", "left").join(authority, "node", "left").join(F.broadcast(totals))
@@ -252,7 +260,8 @@ def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     least k; the fixpoint is the core number. A node's neighbours are counted per value
     first, so a hub costs one row per distinct value.
     """
-    pairs = save_and_reload(undirected(edges), "core-edges")
+    saved_pairs = save_and_reload(undirected(edges), "core-edges")
+    pairs = kept_by(saved_pairs, "v")
     current = save_and_reload(
         pairs.groupBy("u").agg(F.count(F.lit(1)).alias("core")).withColumnRenamed("u", "node"), "core"
     )
@@ -276,7 +285,8 @@ def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         current = following
         if current.filter(F.col("core") < F.col("own")).limit(1).count() == 0:
             break
-    discard(pairs)
+    pairs.unpersist()
+    discard(saved_pairs)
     return current.select("node", "core")
 
 
@@ -286,7 +296,8 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     Every node takes the most frequent label among its neighbours and itself, the smallest
     on a tie; the loop ends when no label changes or after ``max_rounds``.
     """
-    pairs = save_and_reload(undirected(edges), "label-edges")
+    saved_pairs = save_and_reload(undirected(edges), "label-edges")
+    pairs = kept_by(saved_pairs, "v")
     current = save_and_reload(
         pairs.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")), "label"
     )
@@ -305,11 +316,11 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         discard(current)
         current = following
         changed = current.filter("community <> old").limit(1).count()
-        current_view = current.select("node", "community")
+        current = current.select("node", "community")
         if not changed:
-            current = current_view
             break
-        current = current_view
+    pairs.unpersist()
+    discard(saved_pairs)
     return current.select("node", "community")
 
 

@@ -6,9 +6,13 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -38,9 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="citestat-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="citestat-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +64,16 @@ def save_and_reload(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by key once and keep the partitions on the executors, spilling to disk.
+
+    Loops join such a table every round without shuffling it again. A lost executor's
+    partitions are made again from the saved table below; the caller unpersists.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by `save_and_reload` (loops drop old rounds)."""
     spark = df.sparkSession
