@@ -14,6 +14,7 @@ from citestat.operators import corr, metrics
 from citestat.operators.metrics import quantile
 from citestat.operators.selection import first_match
 from citestat.operators.tables import top_n
+from citestat.session import save_and_reload
 
 UNKNOWN_JOURNAL = "UNKNOWN JOURNAL"
 
@@ -168,12 +169,12 @@ def _matched_aggregates(n_name: str, full: bool) -> list[Column]:
 
 def matched_summary(matched: DataFrame) -> DataFrame:
     """14 figures of the matched articles as (metric, value)."""
-    cells = _pair_cells(matched, [])
+    cells = save_and_reload(_pair_cells(matched, []), "pairs")
     one = cells.agg(
         *_matched_aggregates("n_matched_articles", full=True),
         _wavg(F.abs(F.col("y") - F.col("x"))).alias("mean_abs_delta"),
     )
-    coefficients = corr.correlations(matched, [], "citedby_count_oc", "citedby_count_scopus")
+    coefficients = corr.correlations_of_cells(cells.dropna().withColumn("_all", F.lit(1)), [])
     names = [
         "n_matched_articles", "mean_citations_oc", "mean_citations_scopus", "median_citations_oc",
         "median_citations_scopus", "mean_delta_scopus_minus_oc", "median_delta_scopus_minus_oc",
@@ -195,10 +196,9 @@ def delta_distribution(matched: DataFrame) -> DataFrame:
 
 def matched_by_venue(matched: DataFrame, names: DataFrame) -> DataFrame:
     keys = ["venue_internal_id"]
-    stats = _pair_cells(matched, keys).groupBy(*keys).agg(
-        *_matched_aggregates("n_matched_articles", full=True)
-    )
-    coefficients = corr.correlations(matched, keys, "citedby_count_oc", "citedby_count_scopus")
+    cells = save_and_reload(_pair_cells(matched, keys), "pairs")
+    stats = cells.groupBy(*keys).agg(*_matched_aggregates("n_matched_articles", full=True))
+    coefficients = corr.correlations_of_cells(cells.dropna(subset=["x", "y"]), keys)
     side = coefficients.withColumnRenamed("venue_internal_id", "_k")
     out = stats.join(side, F.col("venue_internal_id").eqNullSafe(F.col("_k")), "left").drop("_k")
     return _with_names(out, names)

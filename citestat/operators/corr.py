@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from citestat.session import save_and_reload
+
 
 def contingency(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Cells of the rows in which both values exist."""
@@ -69,9 +71,11 @@ def pearson(cells: DataFrame, keys: Sequence[str], name: str = "pearson_r") -> D
     return _weighted_pearson(cells, keys, "x", "y", name)
 
 
-def spearman(cells: DataFrame, keys: Sequence[str], name: str = "spearman_rho") -> DataFrame:
+def spearman(cells: DataFrame, keys: Sequence[str], name: str = "spearman_rho",
+             ranked: DataFrame | None = None) -> DataFrame:
     """Pearson correlation of average ranks."""
-    return _weighted_pearson(_ranked(cells, keys), keys, "rank_x", "rank_y", name)
+    ranked = _ranked(cells, keys) if ranked is None else ranked
+    return _weighted_pearson(ranked, keys, "rank_x", "rank_y", name)
 
 
 def _pairs(n: Column) -> Column:
@@ -79,7 +83,8 @@ def _pairs(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def kendall(cells: DataFrame, keys: Sequence[str], name: str = "kendall_tau") -> DataFrame:
+def kendall(cells: DataFrame, keys: Sequence[str], name: str = "kendall_tau",
+            ranked: DataFrame | None = None) -> DataFrame:
     """Tau-b with tie correction, without pairing cells.
 
     Two different y positions differ first at exactly one binary digit. For every digit,
@@ -88,7 +93,7 @@ def kendall(cells: DataFrame, keys: Sequence[str], name: str = "kendall_tau") ->
     per distinct x.
     """
     keys = list(keys)
-    ranked = _ranked(cells, keys)
+    ranked = _ranked(cells, keys) if ranked is None else ranked
     digits = F.length(F.conv(F.max("pos_y").over(W.partitionBy(*keys)).cast("string"), 10, 2))
     spread = (
         ranked.withColumn("_digits", digits)
@@ -133,12 +138,23 @@ def kendall(cells: DataFrame, keys: Sequence[str], name: str = "kendall_tau") ->
 
 def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """All three coefficients per group (keys may be empty: one row)."""
-    group = list(keys) or ["_all"]
     if not keys:
         df = df.withColumn("_all", F.lit(1))
-    cells = contingency(df, group, x, y)
+    return correlations_of_cells(contingency(df, list(keys) or ["_all"], x, y), keys)
+
+
+def correlations_of_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from contingency cells (with a column ``_all`` when there are no keys).
+
+    The ranked cells are saved: they are few next to the articles and all three
+    coefficients read them several times.
+    """
+    group = list(keys) or ["_all"]
+    ranked = save_and_reload(_ranked(cells, group), "cells")
+    cells = ranked.select(*group, "x", "y", "c")
     out = pearson(cells, group)
-    for part, name in ((spearman(cells, group), "spearman_rho"), (kendall(cells, group), "kendall_tau")):
+    others = ((spearman(cells, group, ranked=ranked), "spearman_rho"), (kendall(cells, group, ranked=ranked), "kendall_tau"))
+    for part, name in others:
         renamed = part.select(*[F.col(k).alias(f"_{k}") for k in group], name)
         cond = F.lit(True)
         for k in group:

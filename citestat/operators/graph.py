@@ -66,7 +66,7 @@ def node_label(node: str = "node") -> Column:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10,
-             max_rounds: int = 200, rounds_per_check: int = 10) -> DataFrame:
+             max_rounds: int = 200, rounds_per_check: int = 5) -> DataFrame:
     """PageRank with the mass of dangling nodes spread evenly; the ranks sum to 1.
 
     With uniform restart and uniform spreading of dangling mass, the rank is proportional

@@ -23,7 +23,7 @@ from citestat.functions import text as X
 from citestat.functions.similarity import char_masks, common_subsequence
 from citestat.operators.selection import first_match, manually_accepted
 from citestat.operators.tables import one_to_one, union_all
-from citestat.session import save_and_reload
+from citestat.session import save_and_reload, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -240,6 +240,7 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
         f"venue_internal_id {types['venue_internal_id']}, year {types['year']}"
     )
     group = [*keys, "ta", "tb"]
+    left, right = spread(left, *group), spread(right, *group)
     scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_score_tile, schema)
     w = W.partitionBy(*keys, "title_norm").orderBy(F.desc("score"), F.asc("first_id"))
     best = (

@@ -11,6 +11,7 @@ from citestat.plans.catalog_counts import (
 )
 from citestat.plans.domain import master
 from citestat.plans.registry import register, rounded, rounded_sql
+from citestat.session import save_and_reload
 
 BOTH, A_ONLY, B_ONLY = (f"source_status = '{s}'" for s in ("both", "open_citations_only", "scopus_only"))
 
@@ -248,7 +249,8 @@ def preferred_names(spark, sf):
 
 
 def journal_master_of(spark, sf):
-    m = master(spark, sf)
+    # four aggregations read the linked articles, so they are written once
+    m = save_and_reload(master(spark, sf), "master")
     names = compare.preferred_names(m)
     profile = metrics.profile_deltas(metrics.pivot_profiles(metrics.venue_profiles(m, venue_names(m))))
     table = compare.journal_master(
@@ -303,7 +305,7 @@ TOP_SQL = " UNION ALL ".join(
 
 @register("W7_top_lists", rounded_sql(f"{JM} {TOP_SQL}", ["value"]))
 def top_lists(spark, sf):
-    table = journal_master_of(spark, sf)
+    table = save_and_reload(journal_master_of(spark, sf), "venues")
     out = None
     for name, part in compare.top_lists(table).items():
         column = compare.TOP_LISTS[name][0]
@@ -332,7 +334,8 @@ ALL_PAIRS = "SELECT a.v AS row_var, b.v AS col_var FROM ({0}) AS a CROSS JOIN ({
     ),
 )
 def matrix_pearson(spark, sf):
-    return rounded(corr.correlation_matrix(journal_master_of(spark, sf), VARS, "pearson"), 6)
+    table = save_and_reload(journal_master_of(spark, sf), "venues")
+    return rounded(corr.correlation_matrix(table, VARS, "pearson"), 6)
 
 
 @register(
@@ -348,7 +351,8 @@ def matrix_pearson(spark, sf):
 )
 def matrix_spearman(spark, sf):
     # ranks would tell apart values that differ by rounding noise only
-    return rounded(corr.correlation_matrix(rounded(journal_master_of(spark, sf)), VARS, "spearman"), 6)
+    table = save_and_reload(rounded(journal_master_of(spark, sf)), "venues")
+    return rounded(corr.correlation_matrix(table, VARS, "spearman"), 6)
 
 
 # ---- article exports and flags ----------------------------------------------------------

@@ -10,6 +10,7 @@ from citestat.operators.tables import union_all
 from citestat.plans.catalog_text import clean_sql, doi_sql, sim_sql, title_sql, year_sql
 from citestat.plans.domain import articles_a, articles_b, document_articles, linkage_sql
 from citestat.plans.registry import register, rounded, rounded_sql
+from citestat.session import save_and_reload
 from citestat.sources import read_table
 
 AB = f"WITH {linkage_sql(title_sql)}"
@@ -19,6 +20,12 @@ def sources(spark, sf):
     return link.prepare_a(articles_a(spark, sf)), link.prepare_b(articles_b(spark, sf))
 
 
+def saved_sources(spark, sf):
+    """Prepared sources written once, for queries that run several stages on them."""
+    a, b = sources(spark, sf)
+    return save_and_reload(a, "source-a"), save_and_reload(b, "source-b")
+
+
 PREPARED = "key AS id, venue_internal_id, venue, title_norm, doi AS doi_norm, year, cites"
 
 
@@ -93,14 +100,14 @@ def three_key_join(spark, sf):
 
 @register("J3_anti_join", f"{DOI_STAGE} SELECT key AS id FROM a WHERE key NOT IN (SELECT ka FROM ds) UNION ALL SELECT key FROM b WHERE key NOT IN (SELECT kb FROM ds)")
 def anti_join(spark, sf):
-    a, b = sources(spark, sf)
+    a, b = saved_sources(spark, sf)
     left_a, left_b = link.without_matched(a, b, link.match_doi(a, b))
     return left_a.select(F.col("article_id_oc").alias("id")).unionByName(left_b.select(F.col("article_id_scopus").alias("id")))
 
 
 @register("L3_title_year_stage", f"{TITLE_STAGE} SELECT ka AS article_id_oc, kb AS article_id_scopus, 'title_exact_year' AS match_method FROM ts")
 def title_stage(spark, sf):
-    a, b = sources(spark, sf)
+    a, b = saved_sources(spark, sf)
     a2, b2 = link.without_matched(a, b, link.match_doi(a, b))
     return link.match_title_year(a2, b2).select("article_id_oc", "article_id_scopus", "match_method")
 
@@ -112,7 +119,7 @@ def title_stage(spark, sf):
     UNION ALL SELECT 'b', nb - d, nb - d - t FROM k""",
 )
 def bookkeeping(spark, sf):
-    a, b = sources(spark, sf)
+    a, b = saved_sources(spark, sf)
     doi = link.match_doi(a, b)
     a2, b2 = link.without_matched(a, b, doi)
     title = link.match_title_year(a2, b2)
@@ -154,7 +161,7 @@ def manual_records(spark, sf):
 
 
 def exact_matches(spark, sf):
-    a, b = sources(spark, sf)
+    a, b = saved_sources(spark, sf)
     doi = link.match_doi(a, b)
     title = link.match_title_year(*link.without_matched(a, b, doi))
     return a, b, link.merge_stages(doi, title, link.match_manual(reviewed(spark, sf), a, b))
@@ -237,8 +244,8 @@ def linkage_summary(spark, sf):
 TITLE = "regexp_replace(split_part(split_part(text, chr(10), 1), '.', 1), '[^\\\\x00-\\\\x7F]', ''{g})"
 REF_FIELDS = {
     "identifier": "'oai:' || conv_id", "reference_index": "turn",
-    "title": TITLE, "author": "'Author ' || (conv_id % 5) || '; Second'",
-    "pub_date": "'' || (2000 + conv_id % 20)", "venue": "'Journal of ' || (conv_id % 7)",
+    "title": TITLE, "author": "'Author ' || md5('' || (conv_id % 50)) || '; Second'",
+    "pub_date": "'' || (2000 + conv_id % 20)", "venue": "'Journal of ' || md5('' || (conv_id % 7))",
     "doi": "CASE WHEN turn % 3 = 2 THEN 'https://doi.org/10.9/X' || conv_id || '.' || turn END",
     "volume": "'' || (turn % 2)", "raw_reference": "text",
 }

@@ -65,13 +65,22 @@ def save_and_reload(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def kept_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by key once and keep the partitions on the executors, spilling to disk.
+    """Partition and sort by key once and keep the result on the executors, spilling to disk.
 
-    Loops join such a table every round without shuffling it again. A lost executor's
-    partitions are made again from the saved table below; the caller unpersists.
+    Loops join such a table every round without shuffling or sorting it again. A lost
+    executor's partitions are made again from the saved table below; the caller unpersists.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = spread(df, *keys).sortWithinPartitions(*keys)
+    return placed.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by key into the full number of shuffle partitions.
+
+    For steps that cost much computation per byte: adaptive execution would merge their
+    small partitions and leave most cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def discard(df: DataFrame) -> None:
