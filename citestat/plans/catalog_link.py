@@ -60,8 +60,10 @@ a2 AS (SELECT * FROM a WHERE key NOT IN (SELECT ka FROM ds)), b2 AS (SELECT * FR
 tp AS (SELECT a2.key AS ka, b2.key AS kb FROM a2 JOIN b2 ON a2.venue_internal_id = b2.venue_internal_id
        AND a2.title_norm = b2.title_norm AND a2.year = b2.year),
 {one_to_one_sql('tp', 'ts')}"""
-# pairs a person looked at: same venue and text length; marked when the length is even
-REVIEWED = "SELECT a.key AS ka, b.key AS kb FROM a JOIN b ON a.venue_internal_id = b.venue_internal_id AND a.n_chars = b.n_chars WHERE a.n_chars % 2 = 0"
+# pairs a person looked at: the first article of the other source with the same venue and
+# text length; marked when the length is even
+REVIEWED = """SELECT a.key AS ka, kb FROM a JOIN (SELECT venue_internal_id AS v, n_chars AS n, min(key) AS kb FROM b GROUP BY 1, 2)
+ ON a.venue_internal_id = v AND a.n_chars = n WHERE a.n_chars % 2 = 0"""
 MANUAL_STAGE = f"{TITLE_STAGE}, mp AS ({REVIEWED}), {one_to_one_sql('mp', 'ms')}"
 MERGED = f"""{MANUAL_STAGE},
 allm AS (SELECT ka, kb, 1 AS pri, 'doi_exact' AS method FROM ds UNION ALL SELECT ka, kb, 2, 'title_exact_year' FROM ts
@@ -133,10 +135,10 @@ def bookkeeping(spark, sf):
 
 
 def reviewed(spark, sf):
-    """Review list as group pairs; a hand-made list is short, so is this one (equal length and venue)."""
+    """Review list: every article with one candidate of equal venue and length; several may name the same one."""
     d = document_articles(spark, sf)
     a = d.filter("in_a").select("venue_internal_id", "n_chars", F.col("key").alias("article_id_oc"))
-    b = d.filter("NOT in_a").select("venue_internal_id", "n_chars", F.col("key").alias("article_id_scopus"))
+    b = d.filter("NOT in_a").groupBy("venue_internal_id", "n_chars").agg(F.min("key").alias("article_id_scopus"))
     flag = F.when(F.col("n_chars") % 2 == 0, " X").otherwise("no")
     return a.join(b, ["venue_internal_id", "n_chars"]).select("article_id_oc", "article_id_scopus", flag.alias("the same"))
 
@@ -239,7 +241,7 @@ def linkage_summary(spark, sf):
 # ---- enrichment -------------------------------------------------------------------------
 #
 # References are the user turns of the conversations. The provider answers a query with a
-# near copy of the title and the titles of the assistant turns of the same conversation.
+# near copy of the title and the other sentences of the turn.
 
 TITLE = "regexp_replace(split_part(split_part(text, chr(10), 1), '.', 1), '[^\\\\x00-\\\\x7F]', ''{g})"
 REF_FIELDS = {
@@ -266,12 +268,7 @@ def references(spark, sf):
 def responses(spark, sf):
     """One stored provider answer (JSON items) per distinct query."""
     asked = references(spark, sf).withColumn("query", enrich.query_text()).filter("doi IS NULL")
-    title = F.expr(TITLE.format(g=""))
-    others = (
-        read_table(spark, sf, "conversations").filter("role = 'assistant'")
-        .groupBy(F.concat(F.lit("oai:"), F.col("conv_id")).alias("identifier"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", title.alias("title")))).alias("others"))
-    )
+    sentences = F.split(F.regexp_replace("raw_reference", r"[^\x00-\x7F]", ""), r"\.")
 
     def item(doi, title, year, family):
         return F.struct(
@@ -287,12 +284,10 @@ def responses(spark, sf):
         F.concat(F.col("title"), F.lit(" x")), F.col("pub_date").cast("int"), digit,
     )
     rest = F.transform(
-        F.coalesce("others", F.array().cast("array<struct<turn:bigint,title:string>>")),
-        lambda o: item(F.concat(F.lit("10.8/o"), o["turn"]), o["title"], F.lit(1999), F.lit("Other")),
-    )
-    answered = asked.join(others, "identifier", "left").withColumn(
-        "items_json", F.to_json(F.concat(F.array(own), rest))
+        F.slice(sentences, F.lit(2), F.size(sentences)),
+        lambda t, i: item(F.concat(F.lit("10.8/o"), i + 1), t, F.lit(1999), F.lit("Other")),
     )
+    answered = asked.withColumn("items_json", F.to_json(F.concat(F.array(own), rest)))
     return answered.groupBy("query").agg(F.min_by("items_json", F.struct("identifier", "reference_index")).alias("items_json"))
 
 
@@ -303,12 +298,13 @@ CANDS_SQL = f"""{REFS_SQL},
 q AS (SELECT *, {QUERY_SQL} AS query, {doi_sql('doi')} AS existing FROM rf),
 firstq AS (SELECT query, identifier AS fi, reference_index AS fr, title AS ft, pub_date AS fp, author AS fa, venue AS fv
   FROM q WHERE existing IS NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY identifier, reference_index) = 1),
-oth AS (SELECT 'oai:' || conv_id AS oi, turn, {TITLE.format(g=", 'g'").replace(chr(92) * 2, chr(92))} AS ot FROM conversations WHERE role = 'assistant'),
+oth AS (SELECT 'oai:' || conv_id AS oi, turn, unnest(string_split(asc_text, '.')[2:]) AS ot, generate_subscripts(string_split(asc_text, '.')[2:], 1) AS p
+  FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS asc_text FROM conversations WHERE role = 'user')),
 cand AS (
   SELECT query, 0 AS pos, lower('10.8/' || fi || '.' || fr) AS cdoi, {clean_sql("ft || ' x'")} AS ctitle, string_split(fa, ';')[1] AS cauthor,
          fp AS cyear, fv AS cvenue FROM firstq
-  UNION ALL SELECT query, row_number() OVER (PARTITION BY query ORDER BY turn), '10.8/o' || turn, {clean_sql('ot')}, 'Author Other', '1999', fv
-  FROM firstq JOIN oth ON oi = fi)"""
+  UNION ALL SELECT query, p, '10.8/o' || p, {clean_sql('ot')}, 'Author Other', '1999', fv
+  FROM firstq JOIN oth ON oi = fi AND turn = fr)"""
 SCORED_SQL = f"""WITH {CANDS_SQL},
 sc0 AS (SELECT q.*, cand.* EXCLUDE (query), {sim_sql('title', 'ctitle')} AS ts, {sim_sql("string_split(author, ';')[1]", 'cauthor')} AS aus,
         {sim_sql('venue', 'cvenue')} AS vs, (pub_date = cyear)::INT AS ym FROM q JOIN cand USING (query) WHERE existing IS NULL),

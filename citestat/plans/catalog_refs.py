@@ -6,20 +6,21 @@ from pyspark.sql import functions as F
 
 from citestat.functions import text as X
 from citestat.operators import refs, tables
-from citestat.plans.catalog_tables import harvested_from_conversations
+from citestat.plans.catalog_tables import LINES_SQL, document_lines, harvested_records
 from citestat.plans.catalog_text import WS, clean_sql
 from citestat.plans.registry import register, rounded, rounded_sql
 from citestat.sources import read_table
 
-# One article per conversation; every user turn is a reference, every assistant turn an
-# author's note. The same fields in SQL, to check what is read back from XML or JSON.
-ART = f"""t AS (SELECT conv_id, turn, role, text, {clean_sql('text')} AS txt FROM conversations),
+# One article per document; its even lines are the references, its odd ones a second
+# reading of them. The same fields in SQL, to check what is read back from XML or JSON.
+ART = f"""t AS (SELECT doc_id AS conv_id, i AS turn, CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, line AS text,
+  {clean_sql('line')} AS txt FROM {LINES_SQL}),
 c AS (SELECT conv_id, 'oai:' || conv_id AS identifier, 'p' || conv_id AS publisher_id,
       CASE WHEN conv_id % 3 <> 0 THEN '10.7/C' || conv_id END AS doi, 'Journal of ' || (conv_id % 7) AS journal_title,
       'Article ' || conv_id AS article_title, (1990 + conv_id % 30)::VARCHAR AS year,
       CASE WHEN conv_id % 2 = 0 THEN (conv_id % 5)::VARCHAR END AS issue,
       CASE WHEN conv_id % 4 <> 0 THEN conv_id::VARCHAR END AS fpage, CASE WHEN conv_id % 8 < 6 THEN (conv_id + 9)::VARCHAR END AS lpage
-      FROM (SELECT DISTINCT conv_id FROM conversations)),
+      FROM (SELECT doc_id AS conv_id FROM documents)),
 r AS (SELECT conv_id, turn, txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM t WHERE role = 'user')"""
 PAGE_SQL = "CASE WHEN fpage IS NULL THEN NULL WHEN lpage IS NULL THEN fpage ELSE fpage || '-' || lpage END"
 CITING_SQL = "coalesce('doi:' || lower(doi), 'temp:' || substr(md5(concat_ws(' | ', identifier, publisher_id, article_title{extra})), 1, 16))"
@@ -38,7 +39,7 @@ def _tag(name, value, attributes=""):
 
 def jats_documents(spark, sf):
     """JATS records assembled from the conversations: a default namespace, nested markup in the title."""
-    h = harvested_from_conversations(spark, sf)
+    h = harvested_records(spark, sf)
     person = lambda a: F.concat(
         F.lit("<contrib><contrib-id contrib-id-type=\"orcid\">"), F.coalesce(a["orcid"], F.lit("")),
         F.lit("</contrib-id><name><surname>"), a["surname"], F.lit("</surname><given-names>"), a["given_names"],
@@ -112,7 +113,7 @@ def jats_links(spark, sf):
 
 def _gold(spark, sf):
     """References with every third text emptied, which the index must still count."""
-    h = harvested_from_conversations(spark, sf)
+    h = harvested_records(spark, sf)
     emptied = F.transform(
         "references",
         lambda r, i: F.struct(r["ref_id"].alias("ref_id"), F.when(i % 3 != 1, r["citation"]).otherwise(" ").alias("citation")),
@@ -135,7 +136,7 @@ TEI_KIND = "pos % 4"  # 0 journal article, 1 chapter, 2 book, 3 only a raw note
 
 
 def tei_documents(spark, sf):
-    h = harvested_from_conversations(spark, sf)
+    h = harvested_records(spark, sf)
 
     def entry(r, i):
         kind = (i + 1) % 4
@@ -223,7 +224,8 @@ def raw_references(spark, sf):
 
 def parsed_json(spark, sf, role="user"):
     """Parser output per turn: lists for the title, plain values elsewhere, some not JSON."""
-    t = read_table(spark, sf, "conversations").filter(F.col("role") == role)
+    lines = document_lines(spark, sf).select(F.col("doc_id").alias("conv_id"), F.posexplode("lines").alias("turn", "text"))
+    t = lines.filter(F.col("turn") % 2 == (0 if role == "user" else 1))
     family = F.concat(F.lit("Fam"), F.col("turn"))
     parsed = F.struct(
         F.when(F.col("turn") % 5 != 4, F.array(F.col("text"), F.lit("second"))).alias("title"),
@@ -237,7 +239,7 @@ def parsed_json(spark, sf, role="user"):
     )
     json = F.when(F.col("conv_id") % 10 == 9, F.lit("{broken")).otherwise(F.to_json(parsed))
     return t.select(
-        F.concat(F.lit("oai:"), F.col("conv_id")).alias("identifier"), F.col("turn").alias("reference_index"),
+        F.concat(F.lit("oai:"), F.col("conv_id")).alias("identifier"), F.col("turn").cast("bigint").alias("reference_index"),
         F.col("text").alias("raw_reference"), json.alias("parsed_json"),
     )
 
@@ -264,7 +266,7 @@ def parsed_references(spark, sf):
 
 @register(
     "N16_error_rows",
-    "SELECT 'oai:' || conv_id AS identifier, turn AS reference_index, md5(text) AS raw_reference, 'parser output is not JSON' AS error FROM conversations WHERE role = 'user' AND conv_id % 10 = 9",
+    f"WITH {ART} SELECT 'oai:' || conv_id AS identifier, turn AS reference_index, md5(text) AS raw_reference, 'parser output is not JSON' AS error FROM t WHERE role = 'user' AND conv_id % 10 = 9",
 )
 def error_rows(spark, sf):
     _, bad = refs.split_unparsed(parsed_json(spark, sf))
@@ -317,7 +319,7 @@ RATE_COLUMNS = [f"{p}_has_{n}_rate" for p in SOURCES for n in refs.RATES]
     rounded_sql(f"{COMPARED_SQL} SELECT c.identifier, {RATE_SQL} FROM c LEFT JOIN cmp ON cmp.identifier = c.identifier GROUP BY 1", RATE_COLUMNS),
 )
 def completeness_rates(spark, sf):
-    articles = harvested_from_conversations(spark, sf).select("identifier")
+    articles = harvested_records(spark, sf).select("identifier")
     return rounded(refs.completeness_rates(compared(spark, sf), articles, SOURCES))
 
 
@@ -331,9 +333,9 @@ def completeness_rates(spark, sf):
     ),
 )
 def extracted_vs_gold(spark, sf):
-    lists = read_table(spark, sf, "conversations").groupBy(F.concat(F.lit("oai:"), F.col("conv_id")).alias("identifier")).agg(
-        F.collect_list(F.when(F.col("role") == "assistant", F.col("text"))).alias("extracted"),
-        F.collect_list(F.when(F.col("role") == "user", F.col("text"))).alias("gold"),
+    lists = document_lines(spark, sf).select(
+        F.concat(F.lit("oai:"), F.col("doc_id")).alias("identifier"),
+        F.filter("lines", lambda t, i: i % 2 == 1).alias("extracted"), F.filter("lines", lambda t, i: i % 2 == 0).alias("gold"),
     )
     out = refs.extracted_vs_gold(lists, "extracted", "gold", ["identifier"])
     return rounded(out.select("identifier", *[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes if c != "identifier"]))
@@ -344,7 +346,7 @@ def extracted_vs_gold(spark, sf):
 
 def downloads(spark, sf):
     """Stored download result per view link; some failed."""
-    urls = harvested_from_conversations(spark, sf).select("identifier", F.explode("pdf_urls").alias("view_url"))
+    urls = harvested_records(spark, sf).select("identifier", F.explode("pdf_urls").alias("view_url"))
     ok = X.last_number("view_url") % 2 == 1
     return urls.select(
         "view_url", F.replace(F.col("view_url"), F.lit("view"), F.lit("download")).alias("direct_pdf_url"),
@@ -356,7 +358,7 @@ def downloads(spark, sf):
 
 
 def manifest(spark, sf):
-    return refs.harvest_manifest(harvested_from_conversations(spark, sf), downloads(spark, sf))
+    return refs.harvest_manifest(harvested_records(spark, sf), downloads(spark, sf))
 
 
 # links end in 99, 98, 97 for one, two or three links: the smallest is Polish
@@ -390,7 +392,7 @@ def status_counts(spark, sf):
 
 def job_table(spark, sf):
     keys = ["identifier", "publisher_id", "doi", "article_title"]
-    merged = tables.validated_left_join(manifest(spark, sf), harvested_from_conversations(spark, sf), keys)
+    merged = tables.validated_left_join(manifest(spark, sf), harvested_records(spark, sf), keys)
     return refs.jobs(merged)
 
 
@@ -466,22 +468,19 @@ RESPONSES = {"n": "p_partkey % 3", "eid": "CASE WHEN p_size % 9 = 0 THEN NULL EL
 
 
 def search_pages(spark, sf):
-    """Stored search pages: one per brand and size; the articles of size 1 come up twice."""
+    """Stored search pages of 25 articles, the declared total on each; some pages were stored twice."""
     e = F.struct(
         F.expr(RESPONSES["eid"]).alias("eid"), F.col("p_name").alias("dc:title"), F.lit(None).cast("string").alias("prism:doi"),
         F.col("p_brand").alias("prism:publicationName"), F.concat((F.lit(2000) + F.col("p_size")).cast("string"), F.lit("-01-01")).alias("prism:coverDate"),
         F.lit("12345678").alias("prism:issn"), F.lit(None).cast("string").alias("prism:eIssn"),
         F.when(F.col("p_size") != 2, F.col("p_size").cast("string")).otherwise("n/a").alias("citedby-count"),
     )
-    part = read_table(spark, sf, "part")
-    pages = part.groupBy("p_brand", "p_size").agg(F.collect_list(e).alias("entry"))
-    totals = part.groupBy("p_brand").agg(F.count(F.lit(1)).cast("string").alias("total"))
-    rows = pages.join(totals, "p_brand").withColumn(
-        "_copies", F.when(F.col("p_size") == 1, 2).otherwise(1)
-    )
-    body = F.struct(F.struct(F.col("total").alias("opensearch:totalResults"), "entry").alias("search-results"))
+    page = F.floor(F.col("p_partkey") / 25)
+    rows = read_table(spark, sf, "part").groupBy(page.alias("page")).agg(F.collect_list(e).alias("entry"))
+    body = F.struct(F.struct(F.lit("25").alias("opensearch:totalResults"), "entry").alias("search-results"))
+    copies = F.sequence(F.lit(1), F.when(F.col("page") % 4 == 0, 2).otherwise(1))
     return rows.select(
-        F.col("p_brand").alias("issn_query"), F.to_json(body).alias("page_json"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_i")
+        (F.col("page") % 10).cast("string").alias("issn_query"), F.to_json(body).alias("page_json"), F.explode(copies).alias("_i")
     ).drop("_i")
 
 
@@ -494,22 +493,24 @@ def search_rows(spark, sf):
     return refs.search_rows(search_pages(spark, sf)).select("eid", "title", "publication_name", "cover_date", "citedby_count")
 
 
-@register("N17_search_totals", "SELECT p_brand AS issn_query, count(*)::BIGINT AS total FROM part GROUP BY 1")
+@register("N17_search_totals", "SELECT DISTINCT ((p_partkey // 25) % 10)::VARCHAR AS issn_query, 25::BIGINT AS total FROM part")
 def search_totals(spark, sf):
     return refs.search_totals(search_pages(spark, sf))
 
 
 @register(
     "N18_id_responses",
-    """WITH d AS (SELECT DISTINCT s_nationkey, s_suppkey FROM supplier)
-    SELECT 'i' || s_nationkey AS issn, nullif(string_agg(CASE WHEN s_nationkey % 5 <> 0 THEN 'br/' || s_suppkey END, ',' ORDER BY 'br/' || s_suppkey), '') AS omids,
-    CASE WHEN s_nationkey % 5 <> 0 THEN 'br/' || min(s_suppkey) END AS first_omid FROM d GROUP BY s_nationkey""",
+    """SELECT 'i' || s_suppkey AS issn, CASE WHEN s_suppkey % 5 <> 0 THEN 'br/' || s_nationkey || ',br/' || s_nationkey || 'x' END AS omids,
+    CASE WHEN s_suppkey % 5 <> 0 THEN 'br/' || s_nationkey || 'x' END AS first_omid FROM supplier""",
 )
 def id_responses(spark, sf):
-    """Stored id answers: one text per supplier of a nation; some nations have no venue id."""
-    ids = F.concat(F.when(F.col("s_nationkey") % 5 != 0, F.concat(F.lit("omid:br/"), F.col("s_suppkey"))).otherwise("x:1"), F.lit(" doi:10.1/"), F.col("s_suppkey"))
-    answers = read_table(spark, sf, "supplier").groupBy(F.concat(F.lit("i"), F.col("s_nationkey")).alias("issn")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", ids.alias("id")))), lambda s: s["id"]).alias("ids")
+    """Stored id answers: two id texts per ISSN; some have no venue id."""
+    def ids(suffix):
+        omid = F.concat(F.lit("omid:br/"), F.col("s_nationkey"), F.lit(suffix))
+        return F.concat(F.lit("doi:10.1/x "), F.when(F.col("s_suppkey") % 5 != 0, omid).otherwise("x:1"))
+
+    answers = read_table(spark, sf, "supplier").select(
+        F.concat(F.lit("i"), F.col("s_suppkey")).alias("issn"), F.array(ids("x"), ids("")).alias("ids")
     )
     lists = refs.omids_of_responses(answers).select("issn", F.array_join("omids", ",").alias("omids"))
     first = refs.omids_of_responses(answers, single=True).withColumnRenamed("omid", "first_omid")

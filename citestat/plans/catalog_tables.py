@@ -11,7 +11,7 @@ from citestat.plans.catalog_counts import WITH_ART
 from citestat.plans.catalog_text import VENUE, extract_sql
 from citestat.plans.domain import articles, citations
 from citestat.plans.registry import register, rounded, rounded_sql
-from citestat.session import scratch_path
+from citestat.session import scratch_path, spread
 from citestat.sources import read_table
 
 # ---- journals made from suppliers: ISSNs, discipline, country, venue ids ----------------
@@ -119,45 +119,54 @@ def rows_per_file(spark, sf):
     )
 
 
-def harvested_from_conversations(spark, sf):
-    """Conversations as article records: user turns are the references, in turn order."""
-    turn = F.struct("turn", F.concat(F.lit("R"), F.col("turn")).alias("ref_id"), F.col("text").alias("citation"))
-    t = read_table(spark, sf, "conversations")
-    refs = F.array_sort(F.collect_list(F.when(F.col("role") == "user", turn)))
-    key = F.col("conv_id").cast("string")
-    return t.groupBy("conv_id").agg(refs.alias("r")).select(
+def document_lines(spark, sf):
+    """Documents with the list of their lines; even lines are references, odd ones a second reading."""
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.split("text", "\n").alias("lines"))
+
+
+LINES_SQL = """(SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"""
+
+
+def harvested_records(spark, sf):
+    """Documents as nested article records; the references come from the record itself."""
+    n = F.col("doc_id")
+    key = n.cast("string")
+    numbered = F.transform("lines", lambda t, i: F.struct(F.concat(F.lit("R"), i).alias("ref_id"), t.alias("citation")))
+    return document_lines(spark, sf).select(
         F.concat(F.lit("oai:"), key).alias("identifier"), F.concat(F.lit("p"), key).alias("publisher_id"),
-        F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("10.7/C"), key)).alias("doi"),
-        F.concat(F.lit("Journal of "), F.col("conv_id") % 7).alias("journal_title"),
+        F.when(n % 3 != 0, F.concat(F.lit("10.7/C"), key)).alias("doi"),
+        F.concat(F.lit("Journal of "), n % 7).alias("journal_title"),
         F.concat(F.lit("Article "), key).alias("article_title"),
-        (F.lit(1990) + F.col("conv_id") % 30).cast("string").alias("year"),
-        F.when(F.col("conv_id") % 2 == 0, F.col("conv_id") % 5).cast("string").alias("issue"),
-        F.when(F.col("conv_id") % 4 != 0, F.col("conv_id")).cast("string").alias("fpage"),
-        F.when(F.col("conv_id") % 8 < 6, F.col("conv_id") + 9).cast("string").alias("lpage"),
+        (F.lit(1990) + n % 30).cast("string").alias("year"),
+        F.when(n % 2 == 0, n % 5).cast("string").alias("issue"),
+        F.when(n % 4 != 0, n).cast("string").alias("fpage"),
+        F.when(n % 8 < 6, n + 9).cast("string").alias("lpage"),
         F.lit(None).cast("string").alias("abstract"), F.array(F.lit("kw"), key).alias("keywords"),
         F.array(
             F.struct(
                 F.concat(F.lit("S"), key).alias("surname"), F.concat(F.lit("G"), key).alias("given_names"),
                 F.concat(F.lit("G"), key, F.lit(" S"), key).alias("full_name"),
-                F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("https://orcid.org/0000-"), key)).alias("orcid"),
+                F.when(n % 2 == 0, F.concat(F.lit("https://orcid.org/0000-"), key)).alias("orcid"),
             )
         ).alias("authors"),
-        F.transform(F.sequence(F.lit(1), (F.col("conv_id") % 3 + 1).cast("int")),
+        F.transform(F.sequence(F.lit(1), (n % 3 + 1).cast("int")),
                     lambda i: F.concat(F.lit("https://x.org/view/"), key, F.lit("/"), F.lit(100) - i)).alias("pdf_urls"),
         F.array(F.concat(F.lit("https://x.org/a/"), key)).alias("article_urls"),
-        F.transform("r", lambda r: F.struct(r["ref_id"].alias("ref_id"), r["citation"].alias("citation"))).alias("references"),
+        F.filter(numbered, lambda r, i: i % 2 == 0).alias("references"),
     )
 
 
 @register(
     "S5_nested_records",
-    """SELECT 'oai:' || conv_id AS identifier, '1990'::INT + conv_id % 30 || '' AS year, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)::BIGINT AS n_references,
-    md5(coalesce(string_agg(CASE WHEN role = 'user' THEN text END, '|' ORDER BY turn), '')) AS citations FROM conversations GROUP BY conv_id""",
+    f"""SELECT 'oai:' || doc_id AS identifier, (1990 + doc_id % 30)::VARCHAR AS year, count(*)::BIGINT AS n_references,
+    md5(string_agg(line, '|' ORDER BY i)) AS citations FROM {LINES_SQL} WHERE i % 2 = 0 GROUP BY doc_id""",
 )
 def nested_records(spark, sf):
     """Nested article records written as JSON lines and read back with the nested schema."""
     path = scratch_path(spark, "harvested")
-    sources.write_result(harvested_from_conversations(spark, sf), path, fmt="json")
+    sources.write_result(harvested_records(spark, sf), path, fmt="json")
     return sources.read_harvested(spark, path).select(
         "identifier", "year", F.size("references").cast("bigint").alias("n_references"),
         F.md5(F.array_join(F.transform("references", lambda r: r["citation"]), "|")).alias("citations"),

@@ -196,27 +196,27 @@ AUTHOR_FIELDS = {
 
 
 def _author_lists(spark, sf):
-    """Author list of every nation, ordered by customer."""
-    person = F.struct("c_custkey", *[F.expr(e).alias(n) for n, e in AUTHOR_FIELDS.items()])
-    return read_table(spark, sf, "customer").groupBy("c_nationkey").agg(
-        F.array_sort(F.collect_list(person)).alias("authors")
+    """Three authors per customer record, made of the record's own fields."""
+    person = F.struct(*[F.expr(e).alias(n) for n, e in AUTHOR_FIELDS.items()])
+    second = F.struct(
+        F.lit("Second").alias("surname"), F.when(F.col("c_nationkey") > 12, "N").alias("given_names"),
+        F.lit(None).cast("string").alias("full_name"), F.lit(None).cast("string").alias("orcid"),
     )
+    return read_table(spark, sf, "customer").select("c_custkey", F.array(person, second, person).alias("authors"))
 
 
 @register(
     "F14_authors_string",
     f"""WITH p AS (SELECT c_nationkey, c_custkey, {', '.join(f'{e} AS {n}' for n, e in AUTHOR_FIELDS.items())} FROM customer),
-    q AS (SELECT *, coalesce(full_name, given_names || ' ' || surname, surname) AS built,
-          full_name || coalesce(' [orcid:' || rtrim(replace(orcid, 'https://orcid.org/', ''), '/') || ']', '') AS tagged FROM p)
-    SELECT c_nationkey, md5(string_agg(full_name, '; ' ORDER BY c_custkey)) AS plain,
-           md5(string_agg(built, '; ' ORDER BY c_custkey)) AS built, md5(string_agg(tagged, '; ' ORDER BY c_custkey)) AS tagged
-    FROM q GROUP BY 1""",
+    q AS (SELECT *, coalesce(full_name, given_names || ' ' || surname, surname) AS b, CASE WHEN c_nationkey > 12 THEN 'N Second' ELSE 'Second' END AS s2,
+          full_name || coalesce(' [orcid:' || rtrim(replace(orcid, 'https://orcid.org/', ''), '/') || ']', '') AS g FROM p)
+    SELECT c_custkey, full_name || '; ' || full_name AS plain, b || '; ' || s2 || '; ' || b AS built, g || '; ' || g AS tagged FROM q""",
 )
 def authors_string(spark, sf):
     return _author_lists(spark, sf).select(
-        "c_nationkey", F.md5(X.authors_string("authors")).alias("plain"),
-        F.md5(X.authors_string("authors", built_names=True)).alias("built"),
-        F.md5(X.authors_string("authors", orcid=True)).alias("tagged"),
+        "c_custkey", X.authors_string("authors").alias("plain"),
+        X.authors_string("authors", built_names=True).alias("built"),
+        X.authors_string("authors", orcid=True).alias("tagged"),
     )
 
 
@@ -229,15 +229,10 @@ def normalize_orcid(spark, sf):
     return read_table(spark, sf, "customer").select("c_custkey", X.normalize_orcid(raw).alias("orcid"))
 
 
-@register(
-    "F16_first_author",
-    "SELECT c_nationkey, arg_min(c_name, c_custkey) AS first_author FROM customer GROUP BY 1",
-)
+@register("F16_first_author", "SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_name END AS first_author FROM customer")
 def first_author(spark, sf):
-    lists = read_table(spark, sf, "customer").groupBy("c_nationkey").agg(
-        F.array_join(F.array_sort(F.collect_list("c_name")), "; ").alias("author")
-    )
-    return lists.select("c_nationkey", X.first_author("author").alias("first_author"))
+    author = F.concat(F.when(F.col("c_nationkey") == 3, " ").otherwise(F.col("c_name")), F.lit(" ; "), F.col("c_mktsegment"))
+    return read_table(spark, sf, "customer").select("c_custkey", X.first_author(author).alias("first_author"))
 
 
 @register(
@@ -252,22 +247,26 @@ def venue_with_issue(spark, sf):
     )
 
 
-def _link_lists(spark, sf):
-    """View links of an order: one per part, with the part number at the end."""
-    url = F.concat(F.lit("https://x.org/view/"), F.col("l_orderkey"), F.lit("/"), F.col("l_partkey"),
-                   F.when(F.col("l_linenumber") % 2 == 0, "/").otherwise(""))
-    return read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(url).alias("urls"))
+LINKS_SQL = "list_sort([l_partkey, l_suppkey + 1000000, CASE WHEN l_linenumber > 3 THEN l_linenumber + 2000000 END]) AS l"
 
 
 @register(
     "F19_language_links",
-    """WITH u AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i FROM lineitem)
-    SELECT l_orderkey, max(CASE WHEN i = 1 THEN l_partkey END) AS pl, max(CASE WHEN i = 2 THEN l_partkey END) AS en
-    FROM u GROUP BY 1""",
+    f"""SELECT pl, en, count(*)::BIGINT AS n FROM (SELECT list_filter(l, lambda x: x IS NOT NULL)[1] AS pl, list_filter(l, lambda x: x IS NOT NULL)[2] AS en
+    FROM (SELECT {LINKS_SQL} FROM lineitem)) GROUP BY 1, 2""",
 )
 def language_links(spark, sf):
-    links = _link_lists(spark, sf).select("l_orderkey", X.split_by_last_number("urls").alias("s"))
-    return links.select("l_orderkey", X.last_number("s.pl").alias("pl"), X.last_number("s.en").alias("en"))
+    """View links of a line item, with the number at the end, in no particular order."""
+    def url(number, end=""):
+        return F.concat(F.lit("https://x.org/view/7/"), number, F.lit(end))
+
+    third = F.when(F.col("l_linenumber") > 3, url(F.col("l_linenumber") + 2000000))
+    links = F.array_compact(F.array(third, url(F.col("l_suppkey") + 1000000, "/"), url(F.col("l_partkey"))))
+    split = read_table(spark, sf, "lineitem").select(X.split_by_last_number(links).alias("s"))
+    return (
+        split.select(X.last_number("s.pl").alias("pl"), X.last_number("s.en").alias("en"))
+        .groupBy("pl", "en").agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 @register(
@@ -288,13 +287,13 @@ STEMS_SQL = "|".join(X.POETRY_STEMS)
     f"""SELECT conv_id, bool_or(regexp_matches(lower(text), '{STEMS_SQL}')) AS poetry FROM conversations GROUP BY 1""",
 )
 def keyword_flag(spark, sf):
-    """Turns of a conversation by role stand for the text columns of a record."""
-    def texts(role):
-        return F.collect_list(F.when(F.col("role") == role, F.col("text"))).alias(role)
-
+    """Every turn is a record with three text columns, by role; a conversation counts if any turn does."""
     roles = ["user", "assistant", "system"]
-    records = read_table(spark, sf, "conversations").groupBy("conv_id").agg(*[texts(r) for r in roles])
-    return records.select("conv_id", X.mentions_any(roles).alias("poetry"))
+    records = read_table(spark, sf, "conversations").select(
+        "conv_id", *[F.when(F.col("role") == r, F.array("text")).alias(r) for r in roles]
+    )
+    flagged = records.select("conv_id", X.mentions_any(roles).alias("hit"))
+    return flagged.groupBy("conv_id").agg(F.bool_or("hit").alias("poetry"))
 
 
 # consecutive turns of a conversation, non-ASCII characters removed as the check tool
