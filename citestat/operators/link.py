@@ -159,49 +159,54 @@ def without_matched(a: DataFrame, b: DataFrame, *matches: DataFrame) -> tuple[Da
     return a, b
 
 
-def _score_tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Two best right-hand titles for every left-hand title of a tile.
+def _tile_scorer(floor: float):
+    """Two best right-hand titles, of at least ``floor``, for every left-hand title of a tile.
 
     The characters two titles share bound their common subsequence, so titles are tried in
-    the order of that bound until it falls below the second best score found.
+    the order of that bound until it falls below the floor or the second best score found.
     """
-    out = []
-    if len(left) and len(right):
-        codes = {ch: i for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
-
-        def bag(title: str) -> np.ndarray:
-            counts = np.zeros(len(codes), dtype=np.int32)
-            for ch in title:
-                counts[codes[ch]] += 1
-            return counts
-
-        titles = right["title_norm"].tolist()
-        ids, copies = right["first_id"].tolist(), right["copies"].tolist()
-        lengths = np.array([len(t) for t in titles], dtype=np.int64)
-        bags = np.stack([bag(t) for t in titles])
-        for title in left["title_norm"]:
-            width, masks = len(title), char_masks(title)
-            total = lengths + width
-            shared = np.minimum(bags, bag(title)).sum(axis=1)
-            bound = (1.0 - (total - 2 * shared) / total) * 100.0
-            top: list[tuple[float, str, int]] = []
-            for j in np.argsort(-bound, kind="stable"):
-                if len(top) == 2 and bound[j] < -top[1][0]:
-                    break
-                common = common_subsequence(masks, width, titles[j])
-                score = (1.0 - (total[j] - 2 * common) / total[j]) * 100.0
-                top = sorted(top + [(-float(score), ids[j], copies[j])])[:2]
-            out += [(title, -s, i, c) for s, i, c in top]
-    frame = pd.DataFrame(out, columns=["title_norm", "score", "first_id", "copies"])
-    first = left if len(left) else right
-    for key in ("venue_internal_id", "year"):
-        frame[key] = first[key].iloc[0]
-    return frame
-
-
-def fuzzy_candidates(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
+    codes = {ch: i for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+
+    def bag(title: str) -> np.ndarray:
+        return np.bincount([codes[ch] for ch in title], minlength=len(codes)).astype(np.int32)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            titles = right["title_norm"].tolist()
+            ids, copies = right["first_id"].tolist(), right["copies"].tolist()
+            lengths = np.array([len(t) for t in titles], dtype=np.int64)
+            bags = np.stack([bag(t) for t in titles])
+            for title in left["title_norm"]:
+                width, masks = len(title), char_masks(title)
+                total = lengths + width
+                shared = np.minimum(bags, bag(title)).sum(axis=1)
+                bound = (1.0 - (total - 2 * shared) / total) * 100.0
+                possible = np.flatnonzero(bound >= floor)
+                top: list[tuple[float, str, int]] = []
+                for j in possible[np.argsort(-bound[possible], kind="stable")]:
+                    if len(top) == 2 and bound[j] < -top[1][0]:
+                        break
+                    common = common_subsequence(masks, width, titles[j])
+                    score = (1.0 - (total[j] - 2 * common) / total[j]) * 100.0
+                    if score >= floor:
+                        top = sorted(top + [(-float(score), ids[j], copies[j])])[:2]
+                out += [(title, -s, i, c) for s, i, c in top]
+        frame = pd.DataFrame(out, columns=["title_norm", "score", "first_id", "copies"])
+        first = left if len(left) else right
+        for key in ("venue_internal_id", "year"):
+            frame[key] = first[key].iloc[0]
+        return frame
+
+    return run
+
+
+def fuzzy_candidates(a: DataFrame, b: DataFrame, tile: int = TILE, floor: float = 0.0) -> DataFrame:
     """Best and second best title of the other source in the same venue and year, per A row.
 
+    ``floor`` leaves out candidates that score less. Automatic matches stay the same for any
+    floor up to threshold minus gap; the review queue needs floor 0.
+
     Copies of a title are scored once. A large block is cut into tiles of about ``tile``
     titles on each side, each tile pair keeps two titles per A title, and the tile results
     are merged; no pair is dropped and no task holds a whole block.
@@ -240,8 +245,10 @@ def fuzzy_candidates(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
         f"venue_internal_id {types['venue_internal_id']}, year {types['year']}"
     )
     group = [*keys, "ta", "tb"]
+    # fresh key columns, as both sides may stem from one table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     left, right = spread(left, *group), spread(right, *group)
-    scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_score_tile, schema)
+    scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_tile_scorer(floor), schema)
     w = W.partitionBy(*keys, "title_norm").orderBy(F.desc("score"), F.asc("first_id"))
     best = (
         scored.withColumns({"rn": F.row_number().over(w), "next_score": F.lead("score").over(w)})
@@ -396,9 +403,11 @@ class Linkage:
 
 
 def link_sources(a: DataFrame, b: DataFrame, reviewed: DataFrame | None = None,
-                 legacy_null_match: bool = False, tile: int = TILE) -> Linkage:
+                 legacy_null_match: bool = False, tile: int = TILE, review: bool = True) -> Linkage:
     """Run all stages on two prepared sources (`prepare_a`, `prepare_b`).
 
+    ``review=False`` looks for automatic matches only, which skips nearly all scoring.
+
     Stage results are small next to the sources and feed several later steps, so each is
     written once to the shared folder.
     """
@@ -407,7 +416,8 @@ def link_sources(a: DataFrame, b: DataFrame, reviewed: DataFrame | None = None,
     left_a, left_b = without_matched(a, b, doi)
     title = save_and_reload(match_title_year(left_a, left_b, legacy_null_match), "title")
     left_a, left_b = without_matched(left_a, left_b, title)
-    resolved = save_and_reload(resolve_fuzzy(fuzzy_candidates(left_a, left_b, tile)), "fuzzy")
+    floor = 0.0 if review else FUZZY_THRESHOLD - MIN_GAP_TO_SECOND
+    resolved = save_and_reload(resolve_fuzzy(fuzzy_candidates(left_a, left_b, tile, floor)), "fuzzy")
     fuzzy, review = fuzzy_matches(resolved, b), review_queue(resolved, b)
     manual = match_manual(reviewed, a, b) if reviewed is not None else None
     stages = [doi, title, fuzzy] + ([manual] if manual is not None else [])

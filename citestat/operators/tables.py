@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from citestat.session import save_and_reload
+from citestat.session import save_and_reload, shuffle_width
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -133,7 +133,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "internal_id")
     Rows are range partitioned and saved once, every partition is numbered by itself, and
     the partition offsets (one row per partition) are added; no task sees the whole table.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_width(df.sparkSession)
     cols = [F.col(o).asc_nulls_last() for o in order]
     placed = save_and_reload(
         df.repartitionByRange(parts, *cols).withColumn("_part", F.spark_partition_id()), "numbering"

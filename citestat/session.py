@@ -80,7 +80,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For steps that cost much computation per byte: adaptive execution would merge their
     small partitions and leave most cores idle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(shuffle_width(df.sparkSession), *keys)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """The session's shuffle partitions; on one machine not many more than its cores."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        return min(width, 2 * spark.sparkContext.defaultParallelism)
+    return width
 
 
 def discard(df: DataFrame) -> None:

@@ -83,6 +83,8 @@ def test_fuzzy_stage_against_greedy_loop(spark, seed, tile):
     )
     got = sorted((r.article_id_oc, r.article_id_scopus, r.fuzzy_score) for r in link.fuzzy_matches(resolved, b).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    quick = link.resolve_fuzzy(link.fuzzy_candidates(a, b, tile, floor=93.0))
+    assert pairs(link.fuzzy_matches(quick, b)) == [w[:2] for w in want]
     queue = sorted((r.article_id_oc, r.article_id_scopus, r.best_score, r.second_score) for r in link.review_queue(resolved, b).collect())
     assert [q[:2] for q in queue] == [w[:2] for w in review]
     assert [q[2:] for q in queue] == [pytest.approx(w[2:]) for w in review]
