@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citestat.operators import compare, corr, metrics
-from citestat.operators.tables import ordered, top_n
+from citestat.operators.selection import status_flags
+from citestat.operators.tables import head, ordered, top_n
 from citestat.plans.catalog_counts import (
     DELTA, DELTAS, KENDALL, LONG, PEARSON_EXPR, PIVOTED_DOUBLES, RANKS, WITH_M, profiles, venue_names,
 )
@@ -103,7 +104,7 @@ SUMMARY_NAMES = ["n_matched_articles", *MATCHED, "mean_abs_delta", *COEFFICIENTS
 @register(
     "A22_matched_summary",
     rounded_sql(
-        f"""{WITH_M.replace("FROM m WHERE source_status = 'both'", "FROM m WHERE source_status = 'both'")},
+        f"""{WITH_M},
         g AS (SELECT 1 AS venue_internal_id, oc, sc, d FROM b),
         {KENDALL.replace("FROM b GROUP BY ALL", "FROM g GROUP BY ALL")},
         o AS (SELECT count(*) AS n_matched_articles, {MATCHED_SELECT}, avg(abs(d)) AS mean_abs_delta,
@@ -341,7 +342,7 @@ def matrix_pearson(spark, sf):
 @register(
     "A29_correlation_matrix_spearman",
     rounded_sql(
-        f"""{JM.replace("SELECT * FROM jm0", "SELECT * FROM jm0")}, u0 AS ({PAIRS_SQL}),
+        f"""{JM}, u0 AS ({PAIRS_SQL}),
         u AS (SELECT i, j, round(x, 9) AS x, round(y, 9) AS y FROM u0), ap AS ({ALL_PAIRS}),
         r AS (SELECT i, j, {PEARSON_EXPR.format(x='rx', y='ry')} AS value
               FROM {RANKS.format(k='i, j', x='x', y='y', src='u')} GROUP BY 1, 2)
@@ -404,7 +405,6 @@ def preferred_fields(spark, sf):
     m = master(spark, sf)
     # only the one-sided names and years are given; the preferred ones must be found again
     bare = m.withColumns({"venue_name": F.lit(None).cast("string"), "year_preferred": F.lit(None).cast("bigint")})
-    from citestat.operators.selection import status_flags
     return status_flags(bare).select("title_preferred", "venue_name", "year_preferred")
 
 
@@ -478,7 +478,6 @@ def ordered_metrics(spark, sf):
     ORDER BY year_preferred, title_preferred LIMIT 20""",
 )
 def head_sample(spark, sf):
-    from citestat.operators.tables import head
     return head(master(spark, sf).select("title_preferred", "year_preferred"), ["year_preferred", "title_preferred"], 20)
 
 

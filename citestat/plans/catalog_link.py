@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citestat.operators import dedup, enrich, link, refs
+from citestat.operators import dedup, enrich, link
 from citestat.operators.compare import stage_counts
-from citestat.operators.tables import union_all
 from citestat.plans.catalog_text import clean_sql, doi_sql, sim_sql, title_sql, year_sql
 from citestat.plans.domain import articles_a, articles_b, document_articles, linkage_sql
 from citestat.plans.registry import register, rounded, rounded_sql
@@ -430,6 +429,10 @@ def pair_score(spark, sf):
     return rounded(pairs.select("identifier", "reference_index", dedup.matching_score("a", "b").alias("score")))
 
 
+def _citing_id(identifier: str):
+    return F.concat(F.lit("citing:"), F.col(identifier))
+
+
 def deduplicated(spark, sf):
     r = enrich.enrich(scored(spark, sf)).withColumn(
         "citing_id", _citing_id("identifier")
@@ -437,10 +440,6 @@ def deduplicated(spark, sf):
     return dedup.deduplicate(r, ["identifier", "reference_index"])
 
 
-def _citing_id(identifier: str):
-    return F.concat(F.lit("citing:"), F.col(identifier))
-
-
 @register("L18_leader_deduplication")
 def leader_dedup(spark, sf):
     return rounded(

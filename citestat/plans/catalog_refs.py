@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from citestat.functions import text as X
 from citestat.operators import refs, tables
 from citestat.plans.catalog_tables import LINES_SQL, document_lines, harvested_records
-from citestat.plans.catalog_text import WS, clean_sql
+from citestat.plans.catalog_text import clean_sql
 from citestat.plans.registry import register, rounded, rounded_sql
 from citestat.sources import read_table
 
@@ -132,8 +132,7 @@ def gold_references(spark, sf):
 
 # ---- TEI --------------------------------------------------------------------------------
 
-TEI_KIND = "pos % 4"  # 0 journal article, 1 chapter, 2 book, 3 only a raw note
-
+# by position: journal article, chapter, book, only a raw note
 
 def tei_documents(spark, sf):
     h = harvested_records(spark, sf)

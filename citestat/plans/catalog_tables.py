@@ -8,7 +8,7 @@ from citestat import sources
 from citestat.functions import text as X
 from citestat.operators import census, counts, selection, tables
 from citestat.plans.catalog_counts import WITH_ART
-from citestat.plans.catalog_text import VENUE, extract_sql
+from citestat.plans.catalog_text import extract_sql
 from citestat.plans.domain import articles, citations
 from citestat.plans.registry import register, rounded, rounded_sql
 from citestat.session import scratch_path, spread
@@ -240,7 +240,6 @@ def country_and_keyword(spark, sf):
     return out.select("internal_id", "title")
 
 
-VENUE_IDS_SQL = "vi AS (SELECT DISTINCT unnest(omids) AS o FROM om)"
 # venue ids of the dump are br/07<size>; the wanted ones are those of small sizes
 WANTED_SQL = "SELECT DISTINCT 'br/07' || n_nationkey AS venue_omid FROM nation"
 

@@ -90,8 +90,6 @@ def extract_year(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", X.extract_year("text").alias("year"))
 
 
-DATE_FORMS_SQL = """CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m')
- WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'in print' END"""
 DATE_FORMS = """CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM')
  WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM-dd') ELSE 'in print' END"""
 

@@ -161,13 +161,12 @@ def document_articles(spark: SparkSession, sf: str) -> DataFrame:
     first_word = F.length(F.split("text", " ")[0])
     return docs.select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"),
-        F.length("lang").cast("bigint").alias("_l"),
         (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("bigint").alias("venue_internal_id"),
         F.col("lang").alias("venue"), title.alias("title"), doi.alias("doi"),
         (F.lit(2000) + F.least(first_word, F.lit(99))).cast("string").alias("pub_date"),
         F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 7).cast("string")).alias("citedby_count"),
         (F.col("source") < "src2").alias("in_a"), "n_chars",
-    ).drop("_l")
+    )
 
 
 def articles_a(spark: SparkSession, sf: str) -> DataFrame:
