@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citestat.llm import decontamination, neardup, quality_rules
+from citestat.llm import classifier, decontamination, mixing, neardup, quality_rules, sharding, toxicity
 from citestat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,42 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("node").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
         F.col("node").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+def _taught(labels: DataFrame, modulus: int, held: int) -> DataFrame:
+    return labels.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) != held)
+
+
+def _judged(docs: DataFrame, modulus: int, held: int, least: float) -> DataFrame:
+    return docs.select(
+        "doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == held).alias("held_out"),
+        "score", (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, _taught(table(spark, sf_dir, "labels"), 4, 2))
+    return _judged(toxicity.scored(docs, index).withColumnRenamed("id", "doc_id"), 4, 2, 0.3)
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, _taught(table(spark, sf_dir, "labels"), 3, 1))
+    return _judged(classifier.scored(docs, model), 3, 1, 0.5)
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op10_mixing_sources")
+def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
