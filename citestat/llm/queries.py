@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from citestat.llm import classifier, decontamination, mixing, neardup, quality_rules, sharding, toxicity
+from citestat.llm import (
+    chat, classifier, decontamination, linededup, mixing, neardup, packing, quality_rules, sharding, toxicity,
+)
 from citestat.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +176,46 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query("op3_token_packing")
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@query("op4_chat_formatting")
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired_turns(table(spark, sf_dir, "conversations")).drop("place")
+
+
+_LINES_SQL = r"""
+WITH l AS (
+    SELECT doc_id, i AS at, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, line AS raw
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS j FROM l WHERE line <> ''),
+w AS (
+    SELECT doc_id, j, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY j)
+),
+o AS (
+    SELECT doc_id, j, row_number() OVER g AS nth, first_value(doc_id) OVER g AS d0, first_value(j) OVER g AS j0
+    FROM w WHERE c IS NOT NULL WINDOW g AS (PARTITION BY a, b, c ORDER BY doc_id, j)
+),
+gone AS (
+    SELECT DISTINCT doc_id, j + k AS j FROM o, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1 AND (d0 <> doc_id OR j + k >= j0 + 3)
+),
+kept AS (
+    SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.at) AS text FROM l LEFT JOIN f USING (doc_id, at)
+    LEFT JOIN gone ON f.doc_id = gone.doc_id AND f.j = gone.j WHERE gone.j IS NULL GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END) AS clean_md5
+FROM documents d LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
+
+
+@query("op8_line_dedup", _LINES_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, report=True).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("clean_md5"))

@@ -124,13 +124,23 @@ def pack_fixed(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def _level(total: int, shards: int, largest: list[int]) -> int:
+    """Capacity of a shard when items that are larger than it have shards of their own."""
+    for i, size in enumerate(largest):
+        level = max(1, -(-total // max(1, shards - i)))
+        if size <= level:
+            return level
+        total -= size
+    return max(1, total)
+
+
 def shard(
     docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shards: int = SHARDS, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per row: id, the columns ``keep``, size, text_crc32, shard and slot; shards have nearly equal bytes.
 
     Size is the UTF-8 bytes of the text, 0 for null, plus `ROW_BYTES`. Rows of equal text share
-    a shard, null texts among themselves too, unless their bytes exceed half a shard. Slots
+    a shard, null texts among themselves too, unless their bytes exceed a whole shard. Slots
     number the rows of a shard from 0 without gaps. Repeated rows each have a slot.
     """
     rows = save_and_reload(
@@ -150,17 +160,18 @@ def shard(
     fair = max(1, -(-int(total) // shards))
     whole = rows.groupBy(*texts).agg(F.sum("size").alias("bytes"))
     cut = save_and_reload(
-        whole.filter(F.col("bytes") > fair // 2).select(
+        whole.filter(F.col("bytes") > fair).select(
             *texts, F.least(F.ceil(F.col("bytes") * PIECES / fair), F.col("bytes")).cast("bigint").alias("pieces")
         ),
         "shard-cut",
     )
-    # at most 2 * shards texts are above half a shard
+    # fewer than ``shards`` texts are above a shard's size
     placed = rows.join(F.broadcast(cut), texts, "left").withColumn(
         "piece", F.coalesce(F.pmod(F.xxhash64("id", F.lit(3)), "pieces"), F.lit(0)).cast("bigint")
     ).drop("pieces")
     key = [*texts, "piece"]
     groups = save_and_reload(placed.groupBy(*key).agg(F.sum("size").alias("bytes")), "shard-groups")
+    fair = _level(int(total), shards, [r["bytes"] for r in groups.orderBy(F.desc("bytes")).limit(shards).collect()])
     # of groups above this size there are at most LARGE
     large = max(1, int(total) // LARGE)
 
