@@ -18,7 +18,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citestat.llm.common import SPACE, WORD, col, free_name
+from citestat.llm.common import SPACE, WORD, col, free_name, worked_out
 from citestat.session import save_and_reload
 
 #: Labelled texts on which a model is fitted, at most.
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, model: RuleModel, text_col: str = "text", name: str
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
     described = with_statistics(docs, col(text_col), prefix)
-    return described.select(*[col(c) for c in docs.columns], model.score(prefix).alias(name))
+    return worked_out(described, name, model.score(prefix)).select(*[col(c) for c in docs.columns], name)
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", least: float = 0.5) -> DataFrame:

@@ -54,3 +54,13 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
         .withColumn(name, (F.col(before) + F.col(name) - 1).cast("bigint"))
         .drop(cell, before, "cell0", *[f"key{i}" for i in range(len(keys))])
     )
+
+
+def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once per row.
+
+    The optimizer puts the expression of a column in its place wherever a filter above asks for
+    it, also inside the lambda of an array function, where it would run once per element. A
+    generated column stays as it is.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

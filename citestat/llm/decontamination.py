@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citestat.llm.common import col, free_name
+from citestat.llm.common import col, free_name, worked_out
 from citestat.session import save_and_reload
 
 #: Digits, letters and everything outside ASCII; A to Z are lowered afterwards.
@@ -79,7 +79,7 @@ def _hits(words: str, windows: list[tuple[str, int]]) -> Column:
 
 
 def _scan_inline(docs: DataFrame, text_col: str, windows: list[tuple[str, int]], words: str, hits: str) -> DataFrame:
-    return docs.withColumn(words, leak_words(col(text_col))).withColumn(hits, _hits(f"`{words}`", windows))
+    return worked_out(worked_out(docs, words, leak_words(col(text_col))), hits, _hits(f"`{words}`", windows))
 
 
 def _scan_joined(docs: DataFrame, text_col: str, windows: DataFrame, words: str, hits: str, k: int) -> DataFrame:

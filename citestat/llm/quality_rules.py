@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citestat.llm.common import SPACE, col
+from citestat.llm.common import SPACE, col, worked_out
 from citestat.session import save_and_reload
 
 #: Rows of the sample on which rules are measured.
@@ -208,5 +208,6 @@ def filter_by_rules(docs: DataFrame, text_col: str = "text", rules: Sequence[Rul
     ordered = order_rules(texts.select("text"), rules, sample_rows)
     kept = texts
     for rule in ordered:
-        kept = with_statistics(kept, rule.uses).filter(~F.expr(rule.rejects))
+        # a generated column keeps the filter from pulling the statistics apart
+        kept = worked_out(with_statistics(kept, rule.uses), rule.name, F.expr(rule.rejects)).filter(~F.col(rule.name))
     return kept.select("row.*")

@@ -190,10 +190,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES_SQL = r"""
 WITH l AS (
-    SELECT doc_id, i AS at, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, line AS raw
+    SELECT doc_id, i AS pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, line AS raw
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 ),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS j FROM l WHERE line <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS j FROM l WHERE line <> ''),
 w AS (
     SELECT doc_id, j, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY j)
 ),
@@ -205,7 +205,7 @@ gone AS (
     SELECT DISTINCT doc_id, j + k AS j FROM o, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1 AND (d0 <> doc_id OR j + k >= j0 + 3)
 ),
 kept AS (
-    SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.at) AS text FROM l LEFT JOIN f USING (doc_id, at)
+    SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.pos) AS text FROM l LEFT JOIN f USING (doc_id, pos)
     LEFT JOIN gone ON f.doc_id = gone.doc_id AND f.j = gone.j WHERE gone.j IS NULL GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END) AS clean_md5
