@@ -210,7 +210,7 @@ def extract_issn(ids: Column | str) -> Column:
 def format_issn(c: Column | str) -> Column:
     """Eight characters to ``dddd-dddd``."""
     s = _col(c)
-    return F.concat(F.substring(s, 1, 4), F.lit("-"), F.substring(s, 5, 1000))
+    return F.concat(F.substring(s, 1, 4), F.lit("-"), F.substring(s, 5, F.length(s)))
 
 
 def page_range(first: Column | str, last: Column | str) -> Column:

@@ -7,12 +7,18 @@ a lost executor costs one round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from citestat.operators.tables import top_n
 from citestat.session import discard, kept_by, save_and_reload
 
 
+class NotConverged(RuntimeError):
+    """A loop reached its limit of rounds before its values settled."""
+
+
 def edge_table(citations: DataFrame) -> DataFrame:
     """Distinct edges without missing ends and self-loops."""
     return (
@@ -117,6 +123,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10,
         saved = kept
         if change is None or change < tolerance:
             break
+    else:
+        raise NotConverged(f"PageRank changes by {change} after {max_rounds} rounds")
     live.unpersist()
     constant.unpersist()
     ranked = deg.select("node").join(current, "node", "left").select(
@@ -168,6 +176,9 @@ def hits(edges: DataFrame, tolerance: float = 1e-9, max_rounds: int = 1000,
         saved = kept
         if change < tolerance:
             break
+    else:
+        # without convergence there are no scores, as the reports expect
+        hub = hub.select("node", F.lit(0.0).alias("h"))
     by_citing.unpersist()
     by_cited.unpersist()
     authority = authority_of(hub, edges)
@@ -194,7 +205,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def weak_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of the weakly connected component.
 
     Large-star / small-star: every round hangs nodes below smaller ones, and the number of
@@ -229,7 +240,8 @@ def weak_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         canonical(edges.select(F.col("citing").alias("u"), F.col("cited").alias("v"))), "wcc"
     )
     signature = None
-    for _ in range(max_rounds):
+    # stars only ever hang lower, so the loop ends
+    for _ in count():
         following = save_and_reload(small_star(large_star(current)), "wcc")
         discard(current)
         current = following
@@ -253,7 +265,7 @@ def component_sizes(components: DataFrame, n: int | None = 10, column: str = "co
     return sizes if n is None else top_n(sizes, "n_nodes", n, [column])
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def core_numbers(edges: DataFrame) -> DataFrame:
     """Core number of every node of the undirected graph.
 
     Starting from the degree, each node takes the largest k such that k neighbours have at
@@ -265,7 +277,8 @@ def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     current = save_and_reload(
         pairs.groupBy("u").agg(F.count(F.lit(1)).alias("core")).withColumnRenamed("u", "node"), "core"
     )
-    for _ in range(max_rounds):
+    # values only ever fall, so the loop ends
+    for _ in count():
         own = current.select(F.col("node").alias("u"), F.col("core").alias("own"))
         neighbour = current.select(F.col("node").alias("v"), F.col("core").alias("value"))
         seen = (
@@ -294,7 +307,8 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     """(node, community) by synchronous label propagation.
 
     Every node takes the most frequent label among its neighbours and itself, the smallest
-    on a tie; the loop ends when no label changes or after ``max_rounds``.
+    on a tie. The loop ends when no label changes; labels may also swing for ever, so the
+    result is by definition that of at most ``max_rounds`` rounds.
     """
     saved_pairs = save_and_reload(undirected(edges), "label-edges")
     pairs = kept_by(saved_pairs, "v")

@@ -91,7 +91,7 @@ def metadata_dump(spark, sf):
     """A dump of many CSV files with a name prefix; other files in the folder are ignored."""
     path = scratch_path(spark, "dump")
     dump_rows(spark, sf).drop("file").write.option("header", True).option("escape", '"').csv(f"{path}/csv")
-    citations(spark, sf).select("citing").limit(5).write.json(f"{path}/other")
+    citations(spark, sf).select("citing").write.json(f"{path}/other")
     return sources.read_metadata_dump(spark, path, "part").select("id", "title", "venue", "issue", "page", "publisher")
 
 
