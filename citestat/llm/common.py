@@ -64,3 +64,20 @@ def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
     generated column stays as it is.
     """
     return df.withColumn(name, F.explode(F.array(value)))
+
+
+def likely_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the one column of ``keys``, and a few others.
+
+    A bitmap of the keys' hashes is broadcast as at most bits / 64 rows, whatever the number of
+    keys, so what is shuffled for the exact join afterwards is little more than what it keeps. With
+    far more keys than bits the map fills up and lets everything pass.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(bits))
+    words = keys.select(h(col(keys.columns[0])).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("b")
+    )
+    spot, w, b = free_name(df, "spot"), free_name(df, "w"), free_name(df, "b")
+    words = F.broadcast(words.select(F.col("w").alias(w), F.col("b").alias(b)))
+    marked = df.withColumn(spot, h(key)).join(words, F.shiftright(spot, 6) == F.col(w))
+    return marked.filter(F.getbit(b, F.pmod(F.col(spot), F.lit(64)).cast("int")) == 1).drop(spot, w, b)

@@ -10,8 +10,9 @@
    sketches are too far apart go; the others are compared on their full sets.
 4. The links so far give components. A bucket that still holds several components is searched
    in tiles: members of different components are compared by sketch inside the tile, and only
-   pairs that pass leave it, for the full comparison. A group of thousands of alike texts is one
-   component after step 3, so hardly any pair of it is looked at.
+   pairs that pass leave it, for the full comparison. First the most alike pair of each member
+   and component, then, with the components that this leaves, every pair. A group of thousands
+   of alike texts is mostly one component after step 3, so few pairs of it are looked at.
 
 A pair of the wanted similarity shares no band with probability (1 - s**rows)**bands, below
 1e-6 for 0.85 and the defaults, and is lost to the sketch with probability below 1e-8 (the
@@ -27,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from citestat.llm.common import WORD, col, free_name
+from citestat.llm.common import WORD, col, free_name, likely_in
 from citestat.llm.words import mixed, shingle_sets
 from citestat.operators.graph import weak_components
 from citestat.session import save_and_reload
@@ -35,7 +36,7 @@ from citestat.session import save_and_reload
 BANDS, ROWS = 24, 5
 BINS, BITS = 1024, 2048
 MARGIN = 0.08
-TILE = 1024
+TILE = 512
 
 _SIGNATURE = "n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, parity binary, filled binary"
 
@@ -147,10 +148,10 @@ def _pass_sketch(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFra
 
 def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union of their full shingle sets, once each."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = save_and_reload(
-        docs.select(col(id_col).alias("node"), col(text_col).alias("text")).join(nodes, "node").distinct(), "near-texts"
-    )
+    nodes = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
+    nodes = save_and_reload(nodes, "near-nodes")
+    texts = docs.select(col(id_col).alias("node"), col(text_col).alias("text"))
+    texts = save_and_reload(likely_in(texts, F.col("node"), nodes).join(nodes, "node").distinct(), "near-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +176,9 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def _tile_pairs(members: DataFrame, floor: float) -> DataFrame:
-    """Pairs of one bucket that lie in different components and pass the sketch.
+def _tile_pairs(members: DataFrame, floor: float, best: bool) -> DataFrame:
+    """Pairs of one bucket that lie in different components and pass the sketch; with ``best`` only
+    the most alike pair of a member and a component.
 
     ``members``: key, n, leader, rep, comp, bands, parity, filled. A bucket is cut into tiles of
     about `TILE` members; every pair of tiles is one group, so no task holds a whole bucket.
@@ -211,8 +213,13 @@ def _tile_pairs(members: DataFrame, floor: float) -> DataFrame:
             if i != j:
                 other &= tile != tile[x]
             ys = np.flatnonzero(other)
-            ys = ys[similarity_estimate(parity[x], parity[ys], filled[x], filled[ys]) >= floor]
-            ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == mine]
+            likeness = similarity_estimate(parity[x], parity[ys], filled[x], filled[ys])
+            ys, likeness = ys[likeness >= floor], likeness[likeness >= floor]
+            if best:
+                ys = ys[np.argsort(-likeness, kind="stable")]
+                ys = ys[np.unique(comp[ys], return_index=True)[1]]
+            else:
+                ys = ys[(bands[ys] == bands[x]).argmax(axis=1) == mine]
             found += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in ys]
         return pd.DataFrame(found, columns=["a", "b"])
 
@@ -243,39 +250,48 @@ def near_duplicate_components(
     buckets = save_and_reload(
         cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1"), "near-buckets"
     )
-    members = save_and_reload(cells.join(buckets, "key"), "near-members")
+    members = save_and_reload(
+        likely_in(cells, F.col("key"), buckets.select("key")).join(buckets, "key"), "near-members"
+    )
     stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     near = save_and_reload(_pass_sketch(stars, sketches, floor), "near-stars")
     links = save_and_reload(_confirm(near, docs, id_col, text_col, k, percent), "near-links")
-    first = save_and_reload(
+    label = save_and_reload(
         weak_components(links.select(F.col("a").alias("citing"), F.col("b").alias("cited"))), "near-components"
     )
-    # two members are one pair, and it has been compared
-    placed = members.filter("n > 2").join(first, F.col("rep") == F.col("node"), "left").select(
-        "key", "n", "leader", "rep", F.coalesce("component", "rep").alias("comp")
+    # the most alike pairs first: they join most of what can be joined, and few pairs remain
+    for best in (True, False):
+        # two members are one pair, and it has been compared
+        placed = members.filter("n > 2").join(label, F.col("rep") == F.col("node"), "left").select(
+            "key", "n", "leader", "rep", F.coalesce("component", "rep").alias("comp")
+        )
+        placed = save_and_reload(placed, "near-placed")
+        several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        rest = placed.join(several, "key").join(sketches, "rep")
+        more = save_and_reload(_tile_pairs(rest, floor, best).distinct(), "near-more")
+        label = _joined(label, save_and_reload(_confirm(more, docs, id_col, text_col, k, percent), "near-links"))
+    final = classes.select("f1", "f2", "rep").join(label, F.col("rep") == F.col("node"), "left").select(
+        "f1", "f2", F.coalesce("component", "rep").alias("component")
+    )
+    return rows.select("node", "n_shingles", "f1", "f2").join(save_and_reload(final, "near-final"), ["f1", "f2"], "left").select(
+        "node", "n_shingles", "f1", "f2", F.when(F.col("f1").isNull(), F.col("node")).otherwise(F.col("component")).alias("component")
     )
-    placed = save_and_reload(placed, "near-placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(open_keys, "key").join(sketches, "rep")
-    more = save_and_reload(_tile_pairs(rest, floor).distinct(), "near-more")
-    more_links = _confirm(more, docs, id_col, text_col, k, percent)
-    label = first.select(F.col("node"), "component")
-    joined = (
-        more_links.join(label.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b); a node without a row is its own component."""
+    ends = (
+        links.join(label.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left")
         .join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
         .select(F.coalesce("ca", "a").alias("citing"), F.coalesce("cb", "b").alias("cited"))
         .filter("citing <> cited").distinct()
     )
-    joined = save_and_reload(joined, "near-joined")
-    second = weak_components(joined).withColumnsRenamed({"node": "old", "component": "new"})
-    reps = (
-        classes.select("f1", "f2", "rep").join(first, F.col("rep") == F.col("node"), "left")
-        .select("f1", "f2", F.coalesce("component", "rep").alias("old"))
-    )
-    final = reps.join(second, "old", "left").select("f1", "f2", F.coalesce("new", "old").alias("component"))
-    return rows.select("node", "n_shingles", "f1", "f2").join(save_and_reload(final, "near-final"), ["f1", "f2"], "left").select(
-        "node", "n_shingles", "f1", "f2", F.when(F.col("f1").isNull(), F.col("node")).otherwise(F.col("component")).alias("component")
-    )
+    moved = save_and_reload(weak_components(save_and_reload(ends, "near-ends")), "near-moved")
+    moved = moved.withColumnsRenamed({"node": "old", "component": "new"})
+    before = label.join(moved, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    # what had no link until now
+    fresh = moved.join(label, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return save_and_reload(before.unionByName(fresh), "near-components")
 
 
 def drop_near_duplicates(

@@ -30,10 +30,12 @@ from citestat.session import save_and_reload
 
 #: Labelled examples in the index, and terms in the vocabulary, at most.
 MAX_EXAMPLES = 8000
-MAX_TERMS = 2048
+MAX_TERMS = 512
+#: A term in more than this share of the examples is too common to tell anything.
+MAX_SHARE = 0.2
 #: Chi-squared below this is no evidence for a term, and neither is a term in fewer than 4
-#: examples or a thousandth of them.
-LEAST_CHI2, MIN_EXAMPLES, MIN_SHARE = 25.0, 4, 0.001
+#: examples or in three of a thousand.
+LEAST_CHI2, MIN_EXAMPLES, MIN_SHARE = 25.0, 4, 0.003
 #: Beginnings of words, in bytes, that are terms beside the words themselves.
 PREFIXES = (4, 5, 6)
 BLOCK = 64
@@ -136,6 +138,8 @@ def _choose_terms(sample: DataFrame) -> np.ndarray:
                      pa.array(np.bincount(where, toxic, minlength=len(term)))], names=["term", "n", "toxic"],
                 )
 
+    # copies of a text are one example here, or a copied text's words would fill the vocabulary
+    sample = sample.groupBy("text", "label").agg(F.count(F.lit(1)).alias("n")).select("text", "label")
     total, positive = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not total or not positive or positive == total:
         return np.zeros(0, dtype=np.uint64)
@@ -145,7 +149,7 @@ def _choose_terms(sample: DataFrame) -> np.ndarray:
     ranked = (
         sample.select("text", "label").mapInArrow(spread_out, "term bigint, n bigint, toxic double")
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .filter(n >= max(MIN_EXAMPLES, MIN_SHARE * total)).filter(n < F.lit(int(total)))
+        .filter(n >= max(MIN_EXAMPLES, MIN_SHARE * total)).filter(n <= MAX_SHARE * total)
         .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
         .orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term")
     )
