@@ -36,6 +36,10 @@ def _gram(words: Column, start: Column, k: int) -> Column:
     return F.array_join(F.slice(words, start, k), " ")
 
 
+def _all_grams(words: str, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: _gram(F.col(words), i, n))
+
+
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(gram, n, items): distinct windows with their word count and the sorted ids having them.
 
@@ -93,7 +97,7 @@ def _scan_joined(docs: DataFrame, text_col: str, windows: DataFrame, words: str,
     for n in lengths:
         part = saved.filter(F.size(words) >= n).select(
             row, F.lit(n).alias("n"),
-            F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i, n=n: _gram(F.col(words), i, n))).alias("pos", "gram"),
+            F.posexplode(_all_grams(words, n)).alias("pos", "gram"),
         )
         grams = part if grams is None else grams.unionByName(part)
     empty = F.expr("CAST(array() AS array<struct<start:int,n:int,gram:string>>)")

@@ -152,8 +152,8 @@ def test_toxicity(spark, odd, none):
 def test_neighbours_are_exact(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(60)]
-    texts = [(i, " ".join(rng.choices(words[:40] if i % 2 else words[20:], k=5))) for i in range(300)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(250)], "doc_id bigint, toxic int")
+    texts = [(i, " ".join(rng.choices(words[:40] if i % 2 else words[20:], k=5))) for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(700)], "doc_id bigint, toxic int")
     index = toxicity.fit(docs_of(spark, texts), labels)
     n, terms = len(index.ids), len(index.idf)
     assert terms > 5
