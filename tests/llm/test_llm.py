@@ -77,7 +77,8 @@ def test_decontamination(spark, odd, none):
     joined = decontamination.scan(odd, bench, words="w_", hits="h_", max_windows=0)[0]
     assert joined.filter("size(h_) = 0").count() == 9
     cut = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(odd, bench, mode="spans").collect()}
-    assert "word5" not in cut[4] and "word16" not in cut[4] and "word17" in cut[4] and cut[9] == "" and cut[8] == "word " * 30_000
+    kept_words = cut[4].split()
+    assert "word5" not in kept_words and "word16" not in kept_words and "word17" in kept_words and cut[9] == "" and cut[8] == "word " * 30_000
     assert decontamination.leak_report(none, bench).count() == 0
     assert decontamination.leak_report(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
 
