@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citestat.llm.common import col, free_name
+from citestat.llm.common import col, free_name, worked_out
 from citestat.session import save_and_reload
 
 WINDOW = 3
@@ -28,9 +28,8 @@ def _filled(lines: Column) -> Column:
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h, j, h1, h2): one row per window; j is the place of its first line among the filled ones."""
-    filled = docs.select(
-        col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("h"), _filled(F.split(col(text_col), "\n", -1)).alias("lines")
-    )
+    named = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("text"))
+    filled = worked_out(named, "lines", _filled(F.split("text", "\n", -1))).drop("text")
     line = lambda j, k: F.try_element_at("lines", j + (k + 1))["line"]
     starts = F.when(F.size("lines") >= WINDOW, F.sequence(F.lit(0), F.size("lines") - WINDOW)).otherwise(F.array())
     named = filled.select(
@@ -75,8 +74,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = {n: free_name(docs, n) for n in ("lines", "filled", "places")}
     lines, filled, places = names["lines"], names["filled"], names["places"]
     joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["id0"]) & (F.xxhash64(docs[f"`{text_col}`"]) == gone["h0"]), "left")
-    split = joined.withColumn(lines, F.split(col(text_col), "\n", -1)).withColumn(filled, _filled(F.col(lines)))
-    split = split.withColumn(places, F.transform("gone", lambda p: F.element_at(filled, p + 1)["at"]))
+    split = worked_out(joined, lines, F.split(col(text_col), "\n", -1))
+    split = worked_out(split, filled, _filled(F.col(lines)))
+    split = worked_out(split, places, F.transform("gone", lambda p: F.element_at(filled, p + 1)["at"]))
     left = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places)), lambda i: F.element_at(lines, i + 1)
     )
