@@ -242,7 +242,7 @@ def linkage_summary(spark, sf):
 # References are the user turns of the conversations. The provider answers a query with a
 # near copy of the title and the other sentences of the turn.
 
-TITLE = "regexp_replace(split_part(split_part(text, chr(10), 1), '.', 1), '[^\\\\x00-\\\\x7F]', ''{g})"
+TITLE = "split_part(split_part(text, chr(10), 1), '.', 1)"
 REF_FIELDS = {
     "identifier": "'oai:' || conv_id", "reference_index": "turn",
     "title": TITLE, "author": "'Author ' || md5('' || (conv_id % 50)) || '; Second'",
@@ -251,15 +251,15 @@ REF_FIELDS = {
     "volume": "'' || (turn % 2)", "raw_reference": "text",
 }
 REFS_SQL = "rf AS (SELECT {} FROM conversations WHERE role = 'user')".format(
-    ", ".join(f"{e.format(g=chr(44) + ' ' + chr(39) + 'g' + chr(39)) if '{g}' in e else e} AS {n}" for n, e in REF_FIELDS.items())
-).replace("\\\\x", "\\x")
+    ", ".join(f"{e} AS {n}" for n, e in REF_FIELDS.items())
+)
 
 
 def references(spark, sf):
     turns = read_table(spark, sf, "conversations").filter("role = 'user'")
     none = F.lit(None).cast("string")
     return turns.select(
-        *[F.expr(e.format(g="") if "{g}" in e else e).alias(n) for n, e in REF_FIELDS.items()],
+        *[F.expr(e).alias(n) for n, e in REF_FIELDS.items()],
         none.alias("issue"), none.alias("page"), none.alias("type"), none.alias("publisher"), none.alias("editor"),
     )
 
@@ -267,7 +267,7 @@ def references(spark, sf):
 def responses(spark, sf):
     """One stored provider answer (JSON items) per distinct query."""
     asked = references(spark, sf).withColumn("query", enrich.query_text()).filter("doi IS NULL")
-    sentences = F.split(F.regexp_replace("raw_reference", r"[^\x00-\x7F]", ""), r"\.")
+    sentences = F.split("raw_reference", r"\.")
 
     def item(doi, title, year, family):
         return F.struct(
@@ -297,8 +297,8 @@ CANDS_SQL = f"""{REFS_SQL},
 q AS (SELECT *, {QUERY_SQL} AS query, {doi_sql('doi')} AS existing FROM rf),
 firstq AS (SELECT query, identifier AS fi, reference_index AS fr, title AS ft, pub_date AS fp, author AS fa, venue AS fv
   FROM q WHERE existing IS NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY identifier, reference_index) = 1),
-oth AS (SELECT 'oai:' || conv_id AS oi, turn, unnest(string_split(asc_text, '.')[2:]) AS ot, generate_subscripts(string_split(asc_text, '.')[2:], 1) AS p
-  FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS asc_text FROM conversations WHERE role = 'user')),
+oth AS (SELECT 'oai:' || conv_id AS oi, turn, unnest(string_split(text, '.')[2:]) AS ot, generate_subscripts(string_split(text, '.')[2:], 1) AS p
+  FROM conversations WHERE role = 'user'),
 cand AS (
   SELECT query, 0 AS pos, lower('10.8/' || fi || '.' || fr) AS cdoi, {clean_sql("ft || ' x'")} AS ctitle, string_split(fa, ';')[1] AS cauthor,
          fp AS cyear, fv AS cvenue FROM firstq

@@ -370,13 +370,13 @@ def manual_accept(spark, sf):
 
 @register(
     "P18_journal_category",
-    f"""{WITH_ART}, t AS (SELECT venue_internal_id, sum(citedby_count) AS c FROM art WHERE year = 1995 GROUP BY 1)
+    f"""{WITH_ART}, t AS (SELECT venue_internal_id, sum(citedby_count) AS c FROM art GROUP BY 1)
     SELECT n_nationkey::BIGINT AS venue_internal_id, CASE WHEN venue_internal_id IS NULL THEN 'no data in OpenCitations'
       WHEN coalesce(c, 0) = 0 THEN 'in OpenCitations but 0 citations' ELSE 'cited in OpenCitations' END AS category
     FROM nation LEFT JOIN t ON n_nationkey = venue_internal_id""",
 )
 def category(spark, sf):
-    totals = counts.venue_totals(articles(spark, sf).filter("year = 1995"))
+    totals = counts.venue_totals(articles(spark, sf))
     n = read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("venue_internal_id"))
     both = n.join(totals.withColumn("hit", F.lit(True)), "venue_internal_id", "left")
     return both.select(

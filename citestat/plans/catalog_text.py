@@ -294,22 +294,21 @@ def keyword_flag(spark, sf):
     return flagged.groupBy("conv_id").agg(F.bool_or("hit").alias("poetry"))
 
 
-# consecutive turns of a conversation, non-ASCII characters removed as the check tool
-# measures edit distance in bytes
-TURNS_SQL = """t AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations),
+# consecutive turns of a conversation
+TURNS_SQL = """t AS (SELECT conv_id, turn, text FROM conversations),
  p AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 
 def _turn_pairs(spark, sf):
-    t = read_table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text")
-    )
+    t = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
     after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     return t.withColumnRenamed("text", "a").join(after, ["conv_id", "turn"])
 
 
 def sim_sql(a: str, b: str) -> str:
-    x, y = f"lower({clean_sql(a)})", f"lower({clean_sql(b)})"
+    """Similarity by edit distance. SQL measures it in bytes, so the accented letters of the tables,
+    lowered, become capital letters there, which a lowered text no longer has."""
+    x, y = (f"translate(lower({clean_sql(c)}), 'ßäçèéêíñóöü', 'ABCDEFGHIJK')" for c in (a, b))
     return f"coalesce(1.0::DOUBLE - levenshtein({x}, {y}) / greatest(length({x}), length({y})), 0.0)"
 
 
