@@ -7,22 +7,23 @@ shortest path over the automaton's states (what the last turn was), found by dyn
 
 A turn maps costs per state to costs per state, a (min, +) matrix, and matrices of turns in a row
 multiply. So turns are numbered in order over the whole table and cut into chunks of `CHUNK`
-rows, whatever the conversations' lengths: each chunk gives one matrix per conversation in it, a
-conversation's matrices give the states at the borders of its chunks, and each chunk then
-repairs its turns by itself. No task holds a conversation as a whole.
+rows, whatever the conversations' lengths. Only a chunk's first and last conversation can reach
+beyond it; their matrices are steps of the same kind and are cut into blocks of `FAN` chunks, and
+so on until one block is left. Downwards again, each block tells the states at the borders of its
+parts, and each chunk repairs its turns by itself. No task holds a conversation as a whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, GroupedData, functions as F
 
 from citestat.llm.common import col
 from citestat.operators.tables import number_rows
 from citestat.session import save_and_reload
 
-CHUNK = 4096
+CHUNK = FAN = 4096
 MERGE, RELABEL, INSERT = 1.0, 1.5, 2.0
 
 ROLES = ("system", "user", "assistant")
@@ -51,22 +52,22 @@ class Costs:
                         self.step[role, q, x] = cost
                         self.how[role, q, x] = (action, inserted)
 
-    def over(self, roles: np.ndarray) -> np.ndarray:
-        """Matrix of several turns in a row."""
-        total = self.step[roles[0]]
-        for role in roles[1:]:
-            total = (total[:, :, None] + self.step[role][None, :, :]).min(axis=1)
+    def over(self, steps: np.ndarray) -> np.ndarray:
+        """Matrix of several steps in a row."""
+        total = steps[0]
+        for step in steps[1:]:
+            total = (total[:, :, None] + step[None, :, :]).min(axis=1)
         return total
 
-    def path(self, roles: np.ndarray, first: int, last: int) -> list[int]:
-        """States after each turn of the cheapest way from ``first`` to ``last``."""
+    def path(self, steps: np.ndarray, first: int, last: int | None = None) -> list[int]:
+        """States after each step of the cheapest way from ``first`` to ``last``, or to the conversation's end."""
         cost, back = np.full(4, np.inf), []
         cost[first] = 0
-        for role in roles:
-            through = cost[:, None] + self.step[role]
+        for step in steps:
+            through = cost[:, None] + step
             back.append(through.argmin(axis=0))
             cost = through.min(axis=0)
-        states = [last]
+        states = [int((cost + self.end).argmin()) if last is None else last]
         for came in back[:0:-1]:
             states.append(int(came[states[-1]]))
         return states[::-1]
@@ -77,9 +78,63 @@ def _segments(key: pd.Series) -> list[tuple[int, int]]:
     return list(zip(edges, [*edges[1:], len(key)], strict=True))
 
 
+ENDS = "conv string, part bigint, place bigint, matrix array<double>"
+BORDERS = "part bigint, place bigint, enter int, leave int, last boolean"
+
+
+def _ends(group: pd.DataFrame, part: str, steps: np.ndarray, costs: Costs) -> pd.DataFrame:
+    """Matrices of a sorted group's first and last conversation; those between lie in the group as a whole."""
+    found = _segments(group["conv"])
+    out = [
+        (group["conv"].iat[a], int(group[part].iat[a]), int(group["place"].iat[a]), costs.over(steps[a:b]).ravel().tolist())
+        for a, b in (found if len(found) < 3 else [found[0], found[-1]])
+    ]
+    return pd.DataFrame(out, columns=["conv", "part", "place", "matrix"])
+
+
+def _ways(group: pd.DataFrame, borders: pd.DataFrame | None, steps: np.ndarray, costs: Costs):
+    """(start, end, state before, states after each step, whether the conversation ends here) of a sorted group's conversations.
+
+    ``borders`` has the states of the conversations that may reach beyond the group, by their first place.
+    """
+    known = {} if borders is None else {r.place: (r.enter, r.leave, r.last) for r in borders.itertuples()}
+    for a, b in _segments(group["conv"]):
+        enter, leave, last = known.get(group["place"].iat[a], (0, None, True))
+        yield a, b, int(enter), costs.path(steps[a:b], int(enter), None if leave is None else int(leave)), bool(last)
+
+
+def _under(grouped: GroupedData, borders: DataFrame | None, solve, schema: str) -> DataFrame:
+    """``solve(group, its borders or None)`` for each group."""
+    if borders is None:
+        return grouped.applyInPandas(lambda group: solve(group, None), schema)
+    return grouped.cogroup(borders.groupBy("part")).applyInPandas(solve, schema)
+
+
+def _borders(rows: DataFrame, parts: int, costs: Costs, fan: int) -> DataFrame:
+    """States before and after each of the ``rows``, the matrices of ``parts`` parts."""
+    rows = save_and_reload(rows.withColumn("block", F.floor(F.col("part") / fan)), "chat-ends")
+    matrices = lambda group: np.array(group["matrix"].tolist()).reshape(-1, 4, 4)
+
+    def up(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place")
+        return _ends(group, "block", matrices(group), costs)
+
+    def down(group: pd.DataFrame, borders: pd.DataFrame | None) -> pd.DataFrame:
+        group = group.sort_values("place")
+        out = []
+        for a, b, enter, states, last in _ways(group, borders, matrices(group), costs):
+            out += zip([enter, *states[:-1]], states, [False] * (b - a - 1) + [last], strict=True)
+        enters, leaves, lasts = zip(*out, strict=True)
+        return pd.DataFrame({"part": group["part"].to_numpy(), "place": group["place"].to_numpy(), "enter": enters, "leave": leaves, "last": lasts})
+
+    grouped, blocks = rows.groupBy("block"), -(-parts // fan)
+    above = _borders(grouped.applyInPandas(up, ENDS), blocks, costs, fan) if blocks > 1 else None
+    return _under(grouped, above, down, BORDERS)
+
+
 def repaired_turns(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    merge: float = MERGE, relabel: float = RELABEL, insert: float = INSERT, chunk: int = CHUNK,
+    merge: float = MERGE, relabel: float = RELABEL, insert: float = INSERT, chunk: int = CHUNK, fan: int = FAN,
 ) -> DataFrame:
     """Per turn: conv, turn, role, action, new_role, inserted, appended, cost and its piece of the rendered chat.
 
@@ -100,48 +155,20 @@ def repaired_turns(
     numbered = number_rows(rows, ["conv", "turn", "role", "text"], "place").withColumn("chunk", F.floor((F.col("place") - 1) / chunk))
     numbered = save_and_reload(numbered.withColumn("turn", F.col("turn").cast("string")), "chat-turns")
 
-    def matrices(group: pd.DataFrame) -> pd.DataFrame:
+    chunks = -(-(numbered.agg(F.max("place")).first()[0] or 0) // chunk)
+
+    def up(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
-        roles, out = group["r"].to_numpy(), []
-        for a, b in _segments(group["conv"]):
-            out.append((group["conv"].iat[a], int(group["chunk"].iat[a]), costs.over(roles[a:b]).ravel().tolist()))
-        return pd.DataFrame(out, columns=["conv", "chunk", "matrix"])
-
-    def borders(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        steps = [np.array(m).reshape(4, 4) for m in group["matrix"]]
-        cost, back = np.array([0.0, np.inf, np.inf, np.inf]), []
-        for step in steps:
-            through = cost[:, None] + step
-            back.append(through.argmin(axis=0))
-            cost = through.min(axis=0)
-        state, states = int((cost + costs.end).argmin()), []
-        for came in reversed(back):
-            states.append((int(came[state]), state))
-            state = int(came[state])
-        states = states[::-1]
-        last = [False] * (len(states) - 1) + [True]
-        return pd.DataFrame({
-            "conv": group["conv"], "chunk": group["chunk"], "enter": [s[0] for s in states], "leave": [s[1] for s in states], "last": last,
-        })
-
-    found = numbered.select("conv", "chunk", "place", "r").groupBy("chunk").applyInPandas(
-        matrices, "conv string, chunk bigint, matrix array<double>"
-    )
-    # a conversation has one row per chunk here
-    states = found.groupBy("conv").applyInPandas(borders, "conv string, chunk bigint, enter int, leave int, last boolean")
-    states = save_and_reload(states, "chat-borders")
+        return _ends(group, "chunk", costs.step[group["r"].to_numpy()], costs)
 
-    def repair(group: pd.DataFrame) -> pd.DataFrame:
+    def repair(group: pd.DataFrame, borders: pd.DataFrame | None) -> pd.DataFrame:
         group = group.sort_values("place")
         roles, texts = group["r"].to_numpy(), group["text"].to_numpy()
         cells: dict[str, list] = {c: [] for c in ("action", "new_role", "inserted", "appended", "cost", "piece")}
-        for a, b in _segments(group["conv"]):
-            before = int(group["enter"].iat[a])
-            states = costs.path(roles[a:b], before, int(group["leave"].iat[a]))
+        for a, b, before, states, last in _ways(group, borders, costs.step[roles], costs):
             for i, state in enumerate(states):
                 action, inserted = costs.how[int(roles[a + i]), before, state]
-                final = bool(group["last"].iat[a]) and a + i == b - 1
+                final = last and a + i == b - 1
                 appended = {1: ["user", "assistant"], 2: ["assistant"]}.get(state, []) if final else []
                 cells["action"].append(action)
                 cells["new_role"].append(ROLES[state - 1])
@@ -152,9 +179,12 @@ def repaired_turns(
                 before = state
         return group[["conv", "place", "turn", "role"]].assign(**cells)
 
-    joined = numbered.join(states, ["conv", "chunk"])
-    done = joined.groupBy("chunk").applyInPandas(
-        repair,
+    borders = None
+    if chunks > 1:
+        ends = numbered.select("conv", "chunk", "place", "r").groupBy("chunk").applyInPandas(up, ENDS)
+        borders = _borders(ends, chunks, costs, fan)
+    done = _under(
+        numbered.groupBy("chunk"), borders, repair,
         "conv string, place bigint, turn string, role string, action string, new_role string, inserted string, "
         "appended array<string>, cost double, piece string",
     )

@@ -240,13 +240,14 @@ def test_chat_repair(spark):
     names = ["user", "assistant", "system", "tool", None]
     rows, roles = [], {}
     for conv in range(40):
-        roles[conv] = [rng.randrange(5) for _ in range(rng.randrange(1, 9))]
+        # one conversation goes over many chunks and blocks of chunks
+        roles[conv] = [rng.randrange(5) for _ in range(70 if conv == 20 else rng.randrange(1, 9))]
         rows += [(conv, t, names[r], f"t{t}" if t else None) for t, r in enumerate(roles[conv])]
     rows += [(None, None, "user", "x"), (99, 0, "user", "a"), (99, 0, "user", "a")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     number = {0: 2, 1: 3, 2: 1, 3: 0, 4: 0}
-    for chunk in (4096, 3):
-        got = chat.repaired_turns(turns, chunk=chunk).collect()
+    for chunk, fan in ((4096, 4096), (3, 4096), (4, 3)):
+        got = chat.repaired_turns(turns, chunk=chunk, fan=fan).collect()
         assert len(got) == len(rows)
         cost = {c: sum(r["cost"] for r in got if r["conv_id"] == c) for c in roles}
         assert cost == {c: cheapest([number[r] for r in rs]) for c, rs in roles.items()}
