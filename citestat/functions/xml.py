@@ -11,6 +11,10 @@ from pyspark.sql import Column, functions as F
 from citestat.functions.text import clean_text
 
 
+#: A comment, or a CDATA section (kept, as its text may look like a comment).
+COMMENT = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -47,11 +51,11 @@ def values_at(xml: Column | str, xpath: str) -> Column:
 
 
 def fragments(xml: Column | str, name: str, attribute: str = "") -> Column:
-    """All elements of a name (not nested in themselves) as XML texts."""
+    """All elements of a name (not nested in themselves) as XML texts. What stands in comments is left out."""
     prefix = r"(?:[\w.-]+:)?"
     has = rf"(?=[^>]*\s{attribute})" if attribute else ""
     pattern = rf"(?s)<{prefix}{name}(?=[\s>]){has}[^>]*(?<!/)>.*?</{prefix}{name}\s*>"
-    return F.regexp_extract_all(_col(xml), F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(_col(xml), COMMENT, "$1"), F.lit(pattern), F.lit(0))
 
 
 def texts(xml: Column | str, name: str, attribute: str = "") -> Column:

@@ -1,5 +1,6 @@
 import pytest
 
+from citestat.functions.xml import texts
 from citestat.operators import enrich, refs
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>The <hi>big</hi> title</title>
@@ -145,3 +146,9 @@ def test_stored_responses(spark):
     ids = spark.createDataFrame([("i1", ["omid:br/2 doi:x", "omid:br/1"]), ("i2", ["doi:x"]), ("i3", None)], "issn string, ids array<string>")
     assert {r.issn: r.omids for r in refs.omids_of_responses(ids).collect()} == {"i1": ["br/1", "br/2"], "i2": None, "i3": None}
     assert {r.issn: r.omid for r in refs.omids_of_responses(ids, single=True).collect()}["i1"] == "br/2"
+
+
+def test_comments_hold_no_elements(spark):
+    xml = "<r><!-- <ref>no</ref> --><ref>a<!-- <ref> --></ref><![CDATA[<!--]]><ref>b</ref><!-- x\n--><ref>c</ref></r>"
+    df = spark.createDataFrame([(xml,), (None,), ("",)], "xml string")
+    assert [r.t for r in df.select(texts("xml", "ref").alias("t")).collect()] == [["a", "b", "c"], None, []]
