@@ -1,17 +1,17 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 A text becomes a sparse TF-IDF vector over a vocabulary of words and word beginnings. The
-vocabulary is chosen by a chi-squared test on a bounded sample of labelled texts, document
-frequencies are counted over all texts. The labelled examples form an inverted index: a
+vocabulary is every term of a bounded sample of labelled texts that a chi-squared test holds for
+evidence, however many, rare or common they are; document frequencies are counted over all texts. The labelled examples form an inverted index: a
 posting list per term, sorted by example and cut into blocks of `BLOCK` examples, with the
 largest weight of the term in each block. A text's bound for a block is the sum of its own
-weights times these maxima; blocks are scored in the order of their bounds until a bound is
-no better than the k-th neighbour found, so the neighbours are exact. Neighbours vote with
+weights times these maxima; blocks are scored in the order of their bounds, some at a time, until
+a bound is no better than the k-th neighbour found, so the neighbours are exact. Neighbours vote with
 their cosine as weight, and the share of toxic examples among those without evidence is mixed in,
 which keeps the score a probability.
 
-Examples and vocabulary are bounded by parameters, so the index is a few MB whatever the size of
-the table, and is broadcast. Texts stay where they are.
+The examples are bounded by a parameter and the vocabulary by their words, so the index is a few
+MB whatever the size of the table, and is broadcast. Texts stay where they are.
 """
 
 from __future__ import annotations
@@ -28,17 +28,15 @@ from citestat.llm.common import col
 from citestat.llm.words import Run, mixed, runs
 from citestat.session import save_and_reload
 
-#: Labelled examples in the index, and terms in the vocabulary, at most.
+#: Labelled examples in the index, at most.
 MAX_EXAMPLES = 8000
-MAX_TERMS = 512
-#: A term in more than this share of the examples is too common to tell anything.
-MAX_SHARE = 0.2
-#: Chi-squared below this is no evidence for a term, and neither is a term in fewer than 4
-#: examples or in three of a thousand.
-LEAST_CHI2, MIN_EXAMPLES, MIN_SHARE = 25.0, 4, 0.003
+#: Chi-squared below this is no evidence: chance alone reaches it once in two million terms.
+LEAST_CHI2 = 25.0
 #: Beginnings of words, in bytes, that are terms beside the words themselves.
 PREFIXES = (4, 5, 6)
 BLOCK = 64
+#: Blocks scored together at first; each further lot is twice as large.
+FIRST_LOT = 4
 NEIGHBOURS = 15
 #: Weight of the prior in a vote, in units of a neighbour with cosine 1.
 PRIOR = 0.5
@@ -97,22 +95,37 @@ class Index(NamedTuple):
         """Examples and cosines of the ``k`` nearest with a positive cosine; ties by example."""
         best = np.zeros(0, dtype=np.int64)
         cosine = np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 1e-9 or (len(best) == k and bounds[block] < cosine[-1] - 1e-6):
-                break
-            first = block * BLOCK
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                a, b = self.pointers[t, block], self.pointers[t, block + 1]
-                if b > a:
-                    scores[self.postings[a:b] - first] += w * self.weights[a:b]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 1e-9]
+        at, size = 0, FIRST_LOT
+        while at < len(order):
+            lot = order[at : at + size]
+            at, size = at + size, 2 * size
+            if len(best) == k:
+                lot = lot[bounds[lot] >= cosine[-1] - 1e-6]
+                if not len(lot):
+                    break
+            scores = self._scores(terms, weights, lot)
             found = np.flatnonzero(scores > 1e-9)
-            best = np.concatenate([best, found + first])
+            if len(found) > k:
+                found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
+            best = np.concatenate([best, lot[found // BLOCK] * BLOCK + found % BLOCK])
             cosine = np.concatenate([cosine, scores[found]])
-            order = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[order], cosine[order]
+            first = np.lexsort((best, -cosine))[:k]
+            best, cosine = best[first], cosine[first]
         return best, cosine
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, lot: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the blocks of ``lot``, block by block."""
+        begin = self.pointers[terms[:, None], lot]
+        n = (self.pointers[terms[:, None], lot + 1] - begin).ravel()
+        spots = np.repeat(begin.ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shift = np.tile((np.arange(len(lot)) - lot) * BLOCK, len(terms))
+        own = np.repeat(np.repeat(weights, len(lot)), n)
+        return np.bincount(
+            self.postings[spots] + np.repeat(shift, n), own * self.weights[spots], minlength=len(lot) * BLOCK
+        )
+
 
 def _unit(owner: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     weight = (1 + np.log(times)) * idf[term]
@@ -121,7 +134,7 @@ def _unit(owner: np.ndarray, term: np.ndarray, times: np.ndarray, idf: np.ndarra
 
 
 def _choose_terms(sample: DataFrame) -> np.ndarray:
-    """Hashes of the terms that tell the labels of the sample apart, at most `MAX_TERMS`."""
+    """Hashes of all terms that tell the labels of the sample apart."""
     def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
@@ -149,10 +162,9 @@ def _choose_terms(sample: DataFrame) -> np.ndarray:
     ranked = (
         sample.select("text", "label").mapInArrow(spread_out, "term bigint, n bigint, toxic double")
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .filter(n >= max(MIN_EXAMPLES, MIN_SHARE * total)).filter(n <= MAX_SHARE * total)
-        .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-        .orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).select("term")
+        .filter(n < F.lit(int(total))).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).select("term")
     )
+    # no more than the sample's own words and beginnings
     return np.array([r["term"] for r in ranked.collect()], dtype=np.int64).view(np.uint64)
 
 
@@ -170,7 +182,7 @@ def _document_frequency(texts: DataFrame, vocabulary: Vocabulary) -> tuple[int,
             [pa.array(np.arange(-1, size)), pa.array(np.concatenate([[n], having]))], names=["term", "n"]
         )
 
-    # one row per term, so at most MAX_TERMS + 1
+    # one row per term
     rows = texts.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     return found.get(-1, 0), np.array([found.get(t, 0) for t in range(size)], dtype=np.int64)
@@ -204,7 +216,7 @@ def fit(
                 )
 
     kind = dict(sample.dtypes)["id"]
-    # at most ``examples`` rows of at most MAX_TERMS terms
+    # at most ``examples`` rows, of their own terms
     rows = sample.select("id", "label", "text").mapInArrow(
         vectors, f"id {kind}, label double, terms array<bigint>, times array<bigint>"
     ).collect()

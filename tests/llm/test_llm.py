@@ -150,6 +150,20 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.scored(docs, empty).collect()} == {0.5}
 
 
+def test_toxicity_knows_rare_and_common_words(spark):
+    """540 words in 4 of 2,000 examples each, and one in more than a fifth of them."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(100)]
+    rare = lambda g: [f"{chr(97 + g % 26)}{g // 26}{chr(97 + j)}" for j in range(12)]
+    toxic = lambda i: i % 2200 < 180
+    texts = [(i, " ".join(rng.choices(words, k=8) + (rare(i % 45) + ["hate"] if toxic(i) else ["hate"] * (i % 5 == 0)))) for i in range(2400)]
+    labels = spark.createDataFrame([(i, int(toxic(i))) for i in range(2000)], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs_of(spark, texts), labels)
+    assert len(index.idf) > 540
+    scores = {r["id"]: r["score"] for r in toxicity.scored(docs_of(spark, texts[2000:]), index).collect()}
+    assert all((s >= 0.3) == toxic(i) for i, s in scores.items()) and sum(map(toxic, scores)) == 180
+
+
 def test_neighbours_are_exact(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(60)]
