@@ -246,7 +246,7 @@ def fit(
 def scored(
     docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, prior: float = PRIOR
 ) -> DataFrame:
-    """(id, score, evidence) per row; evidence lists the neighbours with their cosine and label.
+    """(id, score, evidence) per row; evidence lists all neighbours that voted, with their cosine and label.
 
     A text without any term, null and empty texts included, has the share of toxic examples among
     examples without terms as its score, and no evidence. Repeated rows are scored one by one.
@@ -263,18 +263,23 @@ def scored(
                 weight = _unit(owner, term, times, ix.idf, n)
                 ends = np.searchsorted(owner, np.arange(n + 1))
                 scores = np.full(n, ix.plain)
-                evidence: list[list[dict]] = [[] for _ in range(n)]
+                voted, votes, n_votes = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], np.zeros(n + 1, dtype=np.int32)
                 for i in np.flatnonzero(np.diff(ends)):
                     part = slice(ends[i], ends[i + 1])
                     bounds = weight[part] @ ix.block_max[term[part]]
                     best, cosine = ix.nearest(term[part], weight[part], bounds, k)
                     scores[i] = (cosine @ ix.toxic[best] + empty_vote) / (cosine.sum() + prior)
-                    evidence[i] = [
-                        {"example": int(ix.ids[e]), "cosine": float(c), "label": int(ix.toxic[e])}
-                        for e, c in zip(best[:3], cosine[:3], strict=True)
-                    ]
+                    voted.append(best)
+                    votes.append(cosine)
+                    n_votes[i + 1] = len(best)
+                who = np.concatenate(voted)
+                neighbours = pa.StructArray.from_arrays(
+                    [pa.array(ix.ids[who].astype(np.int64)), pa.array(np.concatenate(votes)), pa.array(ix.toxic[who].astype(np.int32))],
+                    fields=list(_NEIGHBOUR),
+                )
+                evidence = pa.ListArray.from_arrays(pa.array(np.cumsum(n_votes, dtype=np.int32)), neighbours)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(run.first, n), pa.array(scores), pa.array(evidence, _EVIDENCE)],
+                    [batch.column(0).slice(run.first, n), pa.array(scores), evidence],
                     names=["id", "score", "evidence"],
                 )
 
@@ -284,4 +289,4 @@ def scored(
     )
 
 
-_EVIDENCE = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
+_NEIGHBOUR = pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])

@@ -164,6 +164,20 @@ def test_toxicity_knows_rare_and_common_words(spark):
     assert all((s >= 0.3) == toxic(i) for i, s in scores.items()) and sum(map(toxic, scores)) == 180
 
 
+def test_evidence_gives_the_score(spark):
+    texts = [(i, " ".join(["idiot", "scum"] if i % 8 == 0 else [f"plain{i % 9}", f"p{i % 40}"])) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(200)], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs_of(spark, texts), labels)
+    most = 0
+    for r in toxicity.scored(docs_of(spark, texts), index, prior=0.5).collect():
+        seen = [(e["cosine"], e["label"]) for e in r["evidence"]]
+        most = max(most, len(seen))
+        if seen:
+            want = (sum(c * t for c, t in seen) + 0.5 * index.prior) / (sum(c for c, _ in seen) + 0.5)
+            assert r["score"] == pytest.approx(want)
+    assert most == toxicity.NEIGHBOURS
+
+
 def test_neighbours_are_exact(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(60)]
