@@ -303,19 +303,27 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     return current.select("node", "core")
 
 
-def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(node, community) by synchronous label propagation.
+def communities(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(node, community) by label propagation, run until no label changes.
 
-    Every node takes the most frequent label among its neighbours and itself, the smallest
-    on a tie. The loop ends when no label changes; labels may also swing for ever, so the
-    result is by definition that of at most ``max_rounds`` rounds.
+    In the result every node has the most frequent label among its neighbours and itself, the
+    smallest on a tie. All nodes change at once until nothing changes or the labels swing
+    between two states, the only ways in which such rounds can end. From a swing on, a node
+    changes only if its place in an order drawn anew each round comes before those of all
+    neighbours that want to change. No two neighbours change together then, and as a node's own label
+    counts, each change puts more edges inside communities, so this ends too.
+
+    More than ``max_rounds`` rounds, if given, raise `NotConverged`.
     """
     saved_pairs = save_and_reload(undirected(edges), "label-edges")
     pairs = kept_by(saved_pairs, "v")
-    current = save_and_reload(
-        pairs.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")), "label"
-    )
-    for _ in range(max_rounds):
+    start = pairs.select(F.col("u").alias("node")).distinct()
+    # ``old`` is the label one round before
+    current = save_and_reload(start.select("node", F.col("node").alias("community"), F.col("node").alias("old")), "label")
+    swings = settled = False
+    for i in count():
+        if max_rounds is not None and i == max_rounds:
+            break
         votes = (
             pairs.join(current, pairs["v"] == current["node"])
             .select(F.col("u").alias("node"), "community")
@@ -324,20 +332,40 @@ def communities(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         )
         chosen = votes.groupBy("node").agg(
             F.min(F.struct((-F.col("n")).alias("n"), F.col("community").alias("c"))).alias("b")
-        ).select("node", F.col("b.c").alias("community"))
-        before = current.withColumnRenamed("community", "old")
-        following = save_and_reload(chosen.join(before, "node"), "label")
+        ).select("node", F.col("b.c").alias("wanted"))
+        before = current.select("node", F.col("community").alias("old"), F.col("old").alias("older"))
+        following = chosen.join(before, "node")
+        if swings:
+            following = _one_of_neighbours(following, pairs, i)
+        following = save_and_reload(following.withColumnRenamed("wanted", "community"), "label")
         discard(current)
         current = following
-        changed = current.filter("community <> old").limit(1).count()
-        current = current.select("node", "community")
+        changed, back = current.agg(
+            F.count_if(F.col("community") != F.col("old")), F.count_if(F.col("community") != F.col("older"))
+        ).first()
         if not changed:
+            settled = True
             break
+        swings = swings or (i > 0 and not back)
     pairs.unpersist()
     discard(saved_pairs)
+    if not settled:
+        raise NotConverged(f"communities: labels still change after {max_rounds} rounds")
     return current.select("node", "community")
 
 
+def _one_of_neighbours(wishes: DataFrame, pairs: DataFrame, turn: int) -> DataFrame:
+    """``wishes`` with ``wanted`` granted to no two neighbours, and to one node at least if any wants to change."""
+    place = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("n"))
+    moving = wishes.filter(F.col("wanted") != F.col("old")).select(F.col("node").alias("mover"), place.alias("place"))
+    nearby = (
+        pairs.join(moving, pairs["v"] == moving["mover"]).groupBy("u").agg(F.min("place").alias("first_nearby"))
+    )
+    joined = wishes.join(nearby, wishes["node"] == nearby["u"], "left")
+    free = F.col("first_nearby").isNull() | (place < F.col("first_nearby"))
+    return joined.select("node", F.when(free, F.col("wanted")).otherwise(F.col("old")).alias("wanted"), "old", "older")
+
+
 def induced_by_top(edges: DataFrame, ranks: DataFrame, n: int = 100) -> DataFrame:
     """Edges whose two ends are among the ``n`` nodes of highest PageRank."""
     best = top_n(ranks, "pagerank", n, ["node"]).select("node")

@@ -63,6 +63,31 @@ def test_communities_of_two_cliques(spark):
     assert got["a0"] != got["b0"]
 
 
+def settled(edges, label):
+    """Whether every node has the most frequent label near it, the smallest on a tie."""
+    near = {n: [label[n]] for n in label}
+    for a, b in {tuple(sorted(e)) for e in edges}:
+        near[a].append(label[b])
+        near[b].append(label[a])
+    return all(label[n] == min(set(x), key=lambda c: (-x.count(c), c)) for n, x in near.items())
+
+
+def test_communities_of_a_path_settle_or_raise(spark):
+    edges = [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(5)]
+    e = edge_frame(spark, edges)
+    got = {r.node: r.community for r in graph.communities(e).collect()}
+    assert settled(edges, got) and set(got.values()) == {"p00"}
+    with pytest.raises(graph.NotConverged):
+        graph.communities(e, max_rounds=3)
+
+
+def test_communities_settle_where_all_at_once_swings(spark):
+    small = [("n0", "n2"), ("n2", "n3"), ("n3", "n4"), ("n3", "n6"), ("n4", "n5"), ("n5", "n6")]
+    edges = [(f"{c}{a}", f"{c}{b}") for c in "abc" for a, b in small]
+    got = {r.node: r.community for r in graph.communities(edge_frame(spark, edges)).collect()}
+    assert len(got) == 18 and settled(edges, got)
+
+
 def test_node_metrics_and_subgraph(spark):
     edges = random_edges(1, n=8, m=20)
     e = edge_frame(spark, edges)
