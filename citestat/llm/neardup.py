@@ -14,13 +14,14 @@
    and component, then, with the components that this leaves, every pair. A group of thousands
    of alike texts is mostly one component after step 3, so few pairs of it are looked at.
 
-A pair of the wanted similarity shares no band with probability (1 - s**rows)**bands, below
-1e-6 for 0.85 and the defaults, and is lost to the sketch with probability below 1e-8 (the
-margin is over six standard deviations). Links are confirmed on the full sets, so none is wrong.
+A pair of the wanted similarity shares no band with probability (1 - s**rows)**bands. Bands and
+rows follow from the wanted similarity so that this is at most 1e-6, and the sketch's margin
+from it so that it is at least five standard deviations. Links are confirmed on the full sets, so none is wrong.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,10 @@ from citestat.llm.words import mixed, shingle_sets
 from citestat.operators.graph import weak_components
 from citestat.session import save_and_reload
 
-BANDS, ROWS = 24, 5
+#: Bands at least and rows at most; for lower similarities the bands grow to `MANY_BANDS`, then rows are given up.
+BANDS, ROWS, MANY_BANDS = 24, 5, 128
+#: Probability, at most, that a pair at the threshold shares no band.
+MISS = 1e-6
 BINS, BITS = 1024, 2048
 MARGIN = 0.08
 TILE = 512
@@ -41,11 +45,34 @@ TILE = 512
 _SIGNATURE = "n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, parity binary, filled binary"
 
 
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(20240607).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) with which a pair of ``percent`` similarity shares no band with probability `MISS` at most."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
+    if percent == 100:
+        return BANDS, ROWS
+    for rows in range(ROWS, 0, -1):
+        bands = max(BANDS, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows))))
+        if bands <= MANY_BANDS:
+            break
+    return bands, rows
 
 
-def _signatures(sets: list[np.ndarray], multipliers: np.ndarray) -> dict[str, np.ndarray]:
+def margin(percent: int) -> float:
+    """How far below ``percent`` an estimate of a pair at it may lie: five standard deviations at least."""
+    s = percent / 100
+    share = (1 - math.exp(-4 * (1 - s) * BINS / BITS)) / 2
+    sketch = math.sqrt(BITS * share * (1 - share)) / (1 - 2 * share) / 2 / BINS
+    return max(MARGIN, 5 * math.hypot(sketch, math.sqrt(s * (1 - s) / BINS)))
+
+
+def _multipliers(n: int = BANDS * ROWS) -> np.ndarray:
+    return np.random.default_rng(20240607).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _signatures(
+    sets: list[np.ndarray], multipliers: np.ndarray, n_bands: int = BANDS, n_rows: int = ROWS
+) -> dict[str, np.ndarray]:
     """Per non-empty set: two fingerprints, the band keys, the odd sketch and the filled bins."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     every = np.concatenate(sets)
@@ -55,11 +82,11 @@ def _signatures(sets: list[np.ndarray], multipliers: np.ndarray) -> dict[str, np
         "f2": np.add.reduceat(mixed(every ^ np.uint64(0x13198A2E03707344)), starts),
     }
     product = np.empty_like(every)
-    bands = np.empty((len(sets), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
+    bands = np.empty((len(sets), n_bands), dtype=np.uint64)
+    for band in range(n_bands):
         key = np.full(len(sets), band + 1, dtype=np.uint64)
-        for row in range(ROWS):
-            np.multiply(every, multipliers[band * ROWS + row], out=product)
+        for row in range(n_rows):
+            np.multiply(every, multipliers[band * n_rows + row], out=product)
             key = mixed(key ^ np.minimum.reduceat(product, starts))
         bands[:, band] = key
     # sets are sorted, so the first value of each bin is the bin's minimum
@@ -94,9 +121,9 @@ def _words64(column: pd.Series | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(values), -1)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, n_shingles, f1, f2, bands, parity, filled) per row; nulls after n_shingles for an empty set."""
-    multipliers = _multipliers()
+    multipliers = _multipliers(bands * rows)
     names = [f.split()[0] for f in _SIGNATURE.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +134,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 node = batch.column(0).slice(first, len(sets))
                 cells: dict[str, list] = {n: [None] * len(sets) for n in names[1:]}
                 if len(full):
-                    made = _signatures([sets[i] for i in full], multipliers)
+                    made = _signatures([sets[i] for i in full], multipliers, bands, rows)
                     for name in ("f1", "f2"):
                         for i, v in zip(full, made[name].view(np.int64).tolist(), strict=True):
                             cells[name][i] = v
@@ -236,8 +263,8 @@ def near_duplicate_components(
     node, linked with whatever any of their texts is like. A row with a null id belongs to its
     exact copies only; alone, its component is null. Ids are integers.
     """
-    floor = percent / 100 - MARGIN
-    rows = save_and_reload(signatures(docs, id_col, text_col, k), "near-signatures")
+    floor = percent / 100 - margin(percent)
+    rows = save_and_reload(signatures(docs, id_col, text_col, k, *banding(percent)), "near-signatures")
     classes = save_and_reload(
         rows.filter("f1 IS NOT NULL").groupBy("f1", "f2").agg(
             F.min("node").alias("rep"), F.first("bands").alias("bands"),

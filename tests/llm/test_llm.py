@@ -114,6 +114,19 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.drop_near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [85, 80, 70, 50, 10])
+def test_bands_follow_the_similarity(percent):
+    bands, rows = neardup.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
+def test_low_similarity_pairs_are_found(spark):
+    """150 pairs that share 42 of 78 words."""
+    texts = [(2 * i + j, " ".join(f"w{i}x{w}" for w in range(18 * j, 18 * j + 60))) for i in range(150) for j in range(2)]
+    got = {r["node"]: r["component"] for r in neardup.near_duplicate_components(docs_of(spark, texts), k=1, percent=50).collect()}
+    assert got == {i: i - i % 2 for i, _ in texts}
+
+
 def test_tiles_are_searched(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 7)
     rng = random.Random(6)
