@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citestat.llm import (
-    chat, classifier, decontamination, linededup, mixing, neardup, packing, quality_rules, sharding, toxicity,
+    chat, classifier, decontamination, linededup, merkle, mixing, neardup, packing, quality_rules, sharding, toxicity,
 )
 from citestat.llm.common import table
 
@@ -219,3 +219,72 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs, report=True).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("clean_md5"))
+
+
+_MERKLE_SQL = r"""
+WITH RECURSIVE e AS (
+    SELECT doc_id, source, prefix, prefix || coalesce(strlen(text) || ':' || text, '-') AS whole,
+        prefix || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS cut,
+        list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) % 2 = 1 AS even
+    FROM (
+        SELECT doc_id, source, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+            || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS prefix FROM documents
+    )
+),
+l AS (
+    SELECT doc_id, source, leaf, shown, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+        count(*) OVER (PARTITION BY source) AS n
+    FROM (SELECT doc_id, source, sha256(whole) AS leaf, CASE WHEN even THEN sha256(cut) ELSE sha256(whole) END AS shown FROM e)
+),
+t AS (
+    SELECT source, 0 AS lv, r, leaf AS h, n FROM l
+    UNION ALL SELECT source, lv + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY source, lv, r // 3
+),
+subs AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+s AS (
+    SELECT 0 AS lv, r, h, n FROM subs
+    UNION ALL SELECT lv + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), (any_value(n) + 2) // 3 FROM s WHERE n > 1 GROUP BY lv, r // 3
+),
+p AS (
+    SELECT source, lv, r, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+        coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+    FROM t WHERE n > 1 WINDOW w AS (PARTITION BY source, lv, r // 3 ORDER BY r)
+),
+q AS (
+    SELECT lv, r, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+        coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+    FROM s WHERE n > 1 WINDOW w AS (PARTITION BY lv, r // 3 ORDER BY r)
+),
+steps AS (
+    SELECT source, r, a, b, row_number() OVER (PARTITION BY source, r ORDER BY k) - 1 AS i
+    FROM (
+        SELECT l.source, l.r, p.lv AS k, a, b FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source AND p.r = l.r // CAST(pow(3, p.lv) AS BIGINT)
+        UNION ALL SELECT l.source, l.r, 1000 + q.lv, a, b FROM l JOIN subs ON l.source IS NOT DISTINCT FROM subs.source
+        JOIN q ON q.r = subs.r // CAST(pow(3, q.lv) AS BIGINT)
+    )
+),
+f AS (
+    SELECT source, r, 0 AS i, shown AS h FROM l
+    UNION ALL SELECT f.source, f.r, f.i + 1, sha256(a || h || b) FROM f JOIN steps ON f.source IS NOT DISTINCT FROM steps.source AND f.r = steps.r AND f.i = steps.i
+),
+folds AS (SELECT source, r, arg_max(h, i) AS h FROM f GROUP BY source, r),
+proofs AS (SELECT source, r, sha256(string_agg(a || b, '' ORDER BY i)) AS h FROM steps GROUP BY source, r)
+SELECT doc_id, leaf, subs.h AS subroot, root.h AS root, coalesce(proofs.h, sha256('')) AS proof_sha256, folds.h AS folded_root, folds.h = root.h AS verified
+FROM l JOIN subs ON l.source IS NOT DISTINCT FROM subs.source JOIN folds ON l.source IS NOT DISTINCT FROM folds.source AND l.r = folds.r
+LEFT JOIN proofs ON l.source IS NOT DISTINCT FROM proofs.source AND l.r = proofs.r, (SELECT h FROM s WHERE n = 1) AS root
+"""
+
+
+@query("op11_merkle_manifest", _MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = merkle.leaf_digest(replaced={"text": F.translate("text", "\n", "")})
+    found = merkle.manifest(docs.withColumn("tampered", F.when(even, tampered)), keep=("tampered",))
+    fold = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
