@@ -115,9 +115,12 @@ class PieceTokenizer:
             self._forget()
         return out, text_ends
 
+    def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
+        return [self._encoding.encode_ordinary(p.decode()) for p in pieces]
+
     def _learn(self, data: np.ndarray, keys: np.ndarray, check: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw, encode = data.tobytes(), self._encoding.encode_ordinary
-        made = [encode(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        raw = data.tobytes()
+        made = self._encoded([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         size = np.array([len(m) for m in made], dtype=np.int64)
         flat = np.array([t for m in made for t in m], dtype=np.int32)
         begin = len(self._tokens) + np.cumsum(size) - size
@@ -131,7 +134,7 @@ class PieceTokenizer:
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Without the lookup, for the run in which two pieces share a hash."""
         raw = data.tobytes()
-        made = [self._encoding.encode_ordinary(raw[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        made = self._encoded([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         return np.array([t for m in made for t in m], dtype=np.int32), np.cumsum([len(m) for m in made])
 
 

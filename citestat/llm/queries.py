@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citestat.llm import (
-    chat, classifier, decontamination, linededup, merkle, mixing, neardup, packing, quality_rules, sharding, toxicity,
+    alignment, chat, classifier, decontamination, linededup, merkle, mixing, neardup, packing, quality_rules, sharding, toxicity,
 )
 from citestat.llm.common import table
 
@@ -288,3 +288,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
