@@ -98,7 +98,8 @@ def _outside(tag: str, rest: str) -> bool:
     found = _attributes(rest)
     if "hidden" in found or found.get("aria-hidden") == "true" or _UNSHOWN.search(found.get("style", "")):
         return True
-    names = {w.lower() for w in _NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    given = f"{found.get('class', '')} {found.get('id', '')}"
+    names = {w.lower() for w in [*_NAME_PARTS.findall(given), *re.findall("[A-Za-z]+", given)]}
     if tag in ("article", "main") or names & {"content", "article", "story", "post"} and not names & {"ad", "ads", "sidebar", "advert"}:
         return bool(names & COMMENT_NAMES)
     return found.get("role", "").lower() in OUTSIDE_ROLES or bool(names & OUTSIDE_NAMES)
@@ -110,7 +111,7 @@ def lines(page: str) -> list[Line]:
     open_tags: list[str] = ["html"]
     blocks: list[int] = [0]  # per open element the number of the block it is in
     texts: list[str] = []
-    state = {"linked": 0, "outside": 0, "marked": 0, "head": 0, "count": 0, "a": 0}
+    state = {"linked": 0, "outside": 0, "marked": 0, "count": 0, "a": 0}
     heads = 0  # where a header inside an article began; only its headings are kept
 
     def end_line() -> None:
@@ -254,10 +255,9 @@ def _reach(lengths: list[int], found: list[Line], i: int, window: int) -> Iterat
 def _trimmed(found: list[Line], lengths: list[int], start: int, end: int, surge: int) -> list[int]:
     """Without short lines at either end that are in another element than the longest lines."""
     at = range(start, end)
-    if not any(lengths[i] >= surge for i in at):
-        return [] if sum(lengths[i] for i in at) < 2 * surge else list(at)
-    homes = {found[i].parent for i in at if lengths[i] >= surge}
-    stay = lambda i: lengths[i] >= surge or found[i].marked or found[i].heading or found[i].parent in homes
+    long = min(surge, max(lengths[i] for i in at) / 2)
+    homes = {found[i].parent for i in at if lengths[i] >= long}
+    stay = lambda i: lengths[i] >= long or found[i].marked or found[i].heading or found[i].parent in homes
     while start < end and not stay(start):
         start += 1
     while start < end and (not stay(end - 1) or found[end - 1].heading and not found[end - 1].marked):

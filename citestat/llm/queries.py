@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citestat.llm import (
-    alignment, chat, classifier, decontamination, linededup, merkle, mixing, neardup, packing, quality_rules, sharding, toxicity,
+    alignment, chat, classifier, decontamination, htmltext, linededup, merkle, mixing, neardup, packing, quality_rules, sharding, toxicity,
 )
 from citestat.llm.common import table
 
@@ -290,6 +290,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query("op12_html_extraction")
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query("op13_tokenizer_alignment")
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
