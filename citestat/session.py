@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 _local_folders: dict[str, str] = {}
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_open_lists: list[list[str]] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -60,8 +65,43 @@ def save_and_reload(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for held in _open_lists:
+        held.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    _folders[saved] = path
+    return saved
+
+
+@contextmanager
+def saved_tables() -> Iterator[list[str]]:
+    """Collects the folders that `save_and_reload` makes inside the block, for `delete_tables`."""
+    held: list[str] = []
+    _open_lists.append(held)
+    try:
+        yield held
+    finally:
+        _open_lists[:] = [x for x in _open_lists if x is not held]
+
+
+def delete_tables(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete saved tables that no frame in use reads any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def result_only(spark: SparkSession, job: Callable[[], DataFrame], name: str = "result") -> DataFrame:
+    """The saved result of ``job``. All other tables that it saved are deleted, also when it fails."""
+    with saved_tables() as made:
+        try:
+            out = save_and_reload(job(), name)
+            made.remove(_folders[out])
+        finally:
+            delete_tables(spark, made)
+    return out
 
 
 def kept_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -93,12 +133,6 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by `save_and_reload` (loops drop old rounds)."""
-    spark = df.sparkSession
-    root = f"{shared_folder(spark)}/citestat/"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if root.split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    folder = _folders.pop(df, None)
+    if folder is not None:
+        delete_tables(df.sparkSession, [folder])
