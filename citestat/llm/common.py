@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from citestat.session import save_and_reload
+
 #: Every character but space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,6 +59,20 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     )
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` and the names of added columns that name each row, the same every time it is read.
+
+    Rows of Parquet files are named by file and place in the file. Any other table is saved
+    once with a number per row.
+    """
+    file, at = free_name(df, "row_file"), free_name(df, "row_at")
+    columns = [col(c) for c in df.columns]
+    try:
+        return df.select(*columns, F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)), [file, at]
+    except AnalysisException:
+        return save_and_reload(df.select(*columns, F.monotonically_increasing_id().alias(at)), "row-keys"), [at]
+
+
 def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with the column ``name``, computed once per row.
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from citestat.llm.common import WORD, col, free_name, number_within
+from citestat.llm.common import WORD, col, free_name, number_within, with_row_key
 from citestat.session import save_and_reload
 
 #: Weights of the sources in the order of their names, repeating; a null source is the last.
@@ -169,10 +169,14 @@ def mix(
     docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id",
     weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES, seed: int = 0,
 ) -> DataFrame:
-    """The mixed table: every row of ``docs`` as often as it is taken; same columns."""
-    row, times = free_name(docs, "row"), free_name(docs, "times")
-    whole = docs.select(col(id_col), col(text_col), col(source_col), F.struct(*[col(c) for c in docs.columns]).alias(row))
-    plan = mix_plan(whole, text_col, source_col, id_col, weights, most, seed, keep=(row,))
-    return (
-        plan.filter("copies > 0").withColumn(times, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")
-    )
+    """The mixed table: every row of ``docs`` as often as it is taken; same columns.
+
+    The plan is made on row keys and sizes; texts are joined once, to the rows that are taken.
+    """
+    keyed, key = with_row_key(docs)
+    plan = mix_plan(keyed, text_col, source_col, id_col, weights, most, seed, keep=tuple(key))
+    times = free_name(keyed, "times")
+    taken = plan.filter("copies > 0").select(*[col(k).alias(f"key{i}") for i, k in enumerate(key)], F.col("copies").alias(times))
+    same = [col(k) == F.col(f"key{i}") for i, k in enumerate(key)]
+    rows = keyed.join(taken, same).withColumn(times, F.explode(F.sequence(F.lit(1), col(times))))
+    return rows.select(*[col(c) for c in docs.columns])

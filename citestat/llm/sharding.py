@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from citestat.llm.common import col, number_within
+from citestat.llm.common import col, number_within, with_row_key
 from citestat.session import save_and_reload
 
 SHARDS = 40
@@ -203,3 +203,17 @@ def shard(
     return numbered.select(
         F.col("id").alias(id_col), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "size", "text_crc32", "shard", "slot"
     )
+
+
+def sharded(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """All columns of ``docs`` with size, text_crc32, shard and slot; columns of these names are replaced.
+
+    Shards are planned on row keys and hashes; the rows are joined once, as they are written.
+    """
+    added = ["size", "text_crc32", "shard", "slot"]
+    keyed, key = with_row_key(docs)
+    plan = shard(keyed, text_col, id_col, shards, keep=tuple(key))
+    plan = plan.select(*[col(k).alias(f"key{i}") for i, k in enumerate(key)], *added)
+    kept = keyed.select(*key, F.struct(*[col(c) for c in docs.columns]).alias("row"))
+    rows = kept.join(plan, [F.col(k) == F.col(f"key{i}") for i, k in enumerate(key)])
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added], *added)
