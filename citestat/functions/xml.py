@@ -1,64 +1,108 @@
-"""XML access with Spark's own XPath functions, whatever the namespaces are.
+"""XML documents, each parsed once, whatever its namespaces and prefixes are.
 
-Repeated elements are cut out as fragments first, so each fragment is parsed once and its
-fields stay together.
+A reader gets the root element and picks what it needs; its strings are raw and are cleaned by
+Spark afterwards. CDATA sections are text, comments are left out.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
+from xml.etree import ElementTree
+from xml.etree.ElementTree import Element
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from citestat.functions.text import clean_text
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: A comment, or a CDATA section (kept, as its text may look like a comment).
-COMMENT = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->"
+Reader = Callable[[Element], Any]
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def element(name: str) -> str:
-    return f"*[local-name()='{name}']"
-
-
-def path(*names: str, anywhere: bool = True) -> str:
-    """XPath over local names: ``//a/b``, or ``/a/b`` from the top of a fragment."""
-    return ("//" if anywhere else "/") + "/".join(n if n.startswith(("*", "@")) else element(n) for n in names)
-
-
 def well_formed(xml: Column | str) -> Column:
-    parsed = F.from_xml(
+    parsed_once = F.from_xml(
         _col(xml), "_corrupt_record string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
     )
-    return _col(xml).isNotNull() & parsed["_corrupt_record"].isNull()
+    return _col(xml).isNotNull() & parsed_once["_corrupt_record"].isNull()
+
+
+def parsed(xml: Column | str, reader: Reader, kind: str, broken: Any = None) -> Column:
+    """What ``reader`` returns for the root of each document, of SQL type ``kind``.
+
+    NULL for NULL, and ``broken`` for what is not well-formed.
+    """
+    arrow = to_arrow_type(_parse_datatype_string(kind))
+
+    def one(document: str | None) -> Any:
+        if document is None:
+            return None
+        try:
+            return reader(ElementTree.fromstring(document))
+        except ElementTree.ParseError:
+            return broken
+
+    def read(documents: pa.Array) -> pa.Array:
+        return pa.array([one(d) for d in documents.to_pylist()], arrow)
+
+    read.__annotations__ = {"documents": pa.Array, "return": pa.Array}
+    return F.arrow_udf(read, kind)(_col(xml))
+
+
+def local(e: Element) -> str:
+    """Name without its namespace."""
+    return e.tag.rpartition("}")[2]
+
+
+def children(e: Element, name: str) -> list[Element]:
+    return [c for c in e if local(c) == name]
+
+
+def inside(e: Element, name: str) -> Iterator[Element]:
+    """All elements of a name below ``e``, in document order."""
+    return (c for c in e.iter() if c is not e and local(c) == name)
+
+
+def outermost(e: Element, name: str, **attributes: str) -> list[Element]:
+    """Elements of a name (and attribute values) below ``e`` that are in no other one."""
+    out, todo = [], list(reversed(e))
+    while todo:
+        c = todo.pop()
+        if local(c) == name and all(c.get(k.replace("_", "-")) == v for k, v in attributes.items()):
+            out.append(c)
+        else:
+            todo += reversed(c)
+    return out
 
 
-def text_at(xml: Column | str, xpath: str) -> Column:
-    """Cleaned text of the first hit, nested markup included; NULL if none or empty."""
-    return clean_text(F.xpath_string(_col(xml), F.lit(xpath)))
+def text(e: Element | None) -> str | None:
+    """All text in an element, nested markup included."""
+    return None if e is None else "".join(e.itertext())
 
 
-def exists_at(xml: Column | str, xpath: str) -> Column:
-    return F.xpath_boolean(_col(xml), F.lit(xpath))
+def first(elements: Iterator[Element] | list[Element]) -> Element | None:
+    return next(iter(elements), None)
 
 
-def values_at(xml: Column | str, xpath: str) -> Column:
-    """All values of an attribute or text path."""
-    return F.xpath(_col(xml), F.lit(xpath))
+def filled(elements: Iterator[Element]) -> Iterator[Element]:
+    return (e for e in elements if text(e).strip())
 
 
-def fragments(xml: Column | str, name: str, attribute: str = "") -> Column:
-    """All elements of a name (not nested in themselves) as XML texts. What stands in comments is left out."""
-    prefix = r"(?:[\w.-]+:)?"
-    has = rf"(?=[^>]*\s{attribute})" if attribute else ""
-    pattern = rf"(?s)<{prefix}{name}(?=[\s>]){has}[^>]*(?<!/)>.*?</{prefix}{name}\s*>"
-    return F.regexp_extract_all(F.regexp_replace(_col(xml), COMMENT, "$1"), F.lit(pattern), F.lit(0))
+def texts(xml: Column | str, name: str) -> Column:
+    """Cleaned texts of all elements of a name (the outermost ones), empty ones dropped."""
+    found = parsed(xml, lambda root: [text(e) for e in outermost(root, name)], "array<string>", broken=[])
+    return cleaned_texts(found)
 
 
-def texts(xml: Column | str, name: str, attribute: str = "") -> Column:
-    """Cleaned texts of all elements of a name, empty ones dropped."""
-    found = F.transform(fragments(xml, name, attribute), lambda f: text_at(f, "/*"))
-    return F.filter(found, lambda t: t.isNotNull())
+def cleaned_texts(found: Column) -> Column:
+    return F.filter(F.transform(found, clean_text), lambda t: t.isNotNull())

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
+from xml.etree.ElementTree import Element
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citestat.functions import text as X
@@ -11,6 +14,8 @@ from citestat.functions import xml as M
 from citestat.operators.tables import union_all
 from citestat.schemas import OC_METADATA_COLUMNS, SEARCH_PAGE
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LANGUAGES = ("pl", "en")
 COMPLETENESS = ["author", "title", "pub_date", "venue", "volume", "issue", "page"]
 
@@ -27,61 +32,63 @@ def split_malformed(df: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFra
     return df.filter(ok), bad
 
 
-def _jats_authors(xml: str) -> Column:
-    groups = M.fragments(xml, "contrib-group", r"content-type\s*=\s*[\"']author[\"']")
-    people = F.flatten(F.transform(groups, lambda g: M.fragments(g, "contrib")))
-
-    def person(c: Column) -> Column:
-        surname = M.text_at(c, M.path("surname"))
-        given = M.text_at(c, M.path("given-names"))
-        orcid = M.text_at(c, f"(//{M.element('contrib-id')}[@contrib-id-type='orcid'])[last()]")
-        full = F.nullif(F.trim(F.concat_ws(" ", given, surname)), F.lit(""))
-        return F.struct(
-            surname.alias("surname"), given.alias("given_names"), full.alias("full_name"), orcid.alias("orcid")
-        )
+_JATS = (
+    "struct<journal_title:string,article_title:string,doi:string,publisher_id:string,year:string,issue:string,fpage:string,lpage:string,"
+    "abstract:string,keywords:array<string>,authors:array<struct<surname:string,given_names:string,orcid:string>>,"
+    "pdf_urls:array<string>,article_urls:array<string>,references:array<struct<ref_id:string,citation:string>>>"
+)
+
+
+def _read_jats(root: Element) -> dict:
+    def of(name: str) -> str | None:
+        return M.text(M.first(M.inside(root, name)))
+
+    def article_id(kind: str) -> str | None:
+        return M.text(M.first(M.filled(e for e in M.inside(root, "article-id") if e.get("pub-id-type") == kind)))
+
+    def author(e: Element) -> dict:
+        orcids = [M.text(i) for i in M.inside(e, "contrib-id") if i.get("contrib-id-type") == "orcid"]
+        names = {n: M.text(M.first(M.inside(e, n.replace("_", "-")))) for n in ("surname", "given_names")}
+        return names | {"orcid": orcids[-1] if orcids else None}
+
+    def links(pdf: bool) -> list[str]:
+        found = [e for e in M.inside(root, "self-uri") if (e.get("content-type") == "application/pdf") == pdf]
+        return [v for e in found for k, v in e.items() if k.rpartition("}")[2] == "href" and v]
+
+    groups = M.outermost(root, "contrib-group", content_type="author")
+    years = [y for d in M.inside(root, "pub-date") for y in M.children(d, "year")[:1]]
+    return {
+        "journal_title": of("journal-title"), "article_title": of("article-title"),
+        "doi": article_id("doi"), "publisher_id": article_id("publisher-id"), "year": M.text(M.first(M.filled(iter(years)))),
+        **{n: of(n) for n in ("issue", "fpage", "lpage", "abstract")},
+        "keywords": [M.text(e) for e in M.outermost(root, "kwd")],
+        "authors": [author(e) for g in groups for e in M.outermost(g, "contrib")],
+        "pdf_urls": links(True), "article_urls": links(False),
+        "references": [
+            {"ref_id": e.get("id"), "citation": M.text(M.first(M.inside(e, "mixed-citation")))} for e in M.outermost(root, "ref")
+        ],
+    }
 
-    return F.transform(people, person)
 
+def parse_jats(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """Article row of every JATS document (use `split_malformed` first)."""
+    plain = ["journal_title", "article_title", "doi", "publisher_id", "year", "issue", "fpage", "lpage", "abstract"]
 
-def _jats_references(xml: str) -> Column:
-    def one(r: Column) -> Column:
+    def person(a: Column) -> Column:
+        surname, given = X.clean_text(a["surname"]), X.clean_text(a["given_names"])
+        full = F.nullif(F.trim(F.concat_ws(" ", given, surname)), F.lit(""))
         return F.struct(
-            F.nullif(F.xpath_string(r, F.lit("/*/@id")), F.lit("")).alias("ref_id"),
-            M.text_at(r, M.path("mixed-citation")).alias("citation"),
+            surname.alias("surname"), given.alias("given_names"), full.alias("full_name"), X.clean_text(a["orcid"]).alias("orcid")
         )
 
-    return F.filter(F.transform(M.fragments(xml, "ref"), one), lambda r: r["citation"].isNotNull())
+    def reference(r: Column) -> Column:
+        return F.struct(F.nullif(r["ref_id"], F.lit("")).alias("ref_id"), X.clean_text(r["citation"]).alias("citation"))
 
-
-def parse_jats(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Article row of every JATS document (use `split_malformed` first)."""
-    article_id = M.element("article-id")
-    links = f"//{M.element('self-uri')}"
-    href = "@*[local-name()='href']"
-
-    def non_empty(values: Column) -> Column:
-        return F.filter(values, lambda v: v != "")
-
-    return df.select(
-        "identifier",
-        M.text_at(xml, M.path("journal-title")).alias("journal_title"),
-        M.text_at(xml, M.path("article-title")).alias("article_title"),
-        M.text_at(xml, f"//{article_id}[@pub-id-type='doi'][normalize-space()]").alias("doi"),
-        M.text_at(xml, f"//{article_id}[@pub-id-type='publisher-id'][normalize-space()]").alias("publisher_id"),
-        M.text_at(
-            xml, f"//{M.element('pub-date')}/{M.element('year')}[1][normalize-space()]"
-        ).alias("year"),
-        M.text_at(xml, M.path("issue")).alias("issue"),
-        M.text_at(xml, M.path("fpage")).alias("fpage"),
-        M.text_at(xml, M.path("lpage")).alias("lpage"),
-        M.text_at(xml, M.path("abstract")).alias("abstract"),
-        M.texts(xml, "kwd").alias("keywords"),
-        _jats_authors(xml).alias("authors"),
-        non_empty(M.values_at(xml, f"{links}[@content-type='application/pdf']/{href}")).alias("pdf_urls"),
-        non_empty(
-            M.values_at(xml, f"{links}[not(@content-type='application/pdf')]/{href}")
-        ).alias("article_urls"),
-        _jats_references(xml).alias("references"),
+    rows = df.select("identifier", M.parsed(xml, _read_jats, _JATS).alias("_x")).select("identifier", "_x.*")
+    return rows.select(
+        "identifier", *[X.clean_text(c).alias(c) for c in plain], M.cleaned_texts(F.col("keywords")).alias("keywords"),
+        F.transform("authors", person).alias("authors"), "pdf_urls", "article_urls",
+        F.filter(F.transform("references", reference), lambda r: r["citation"].isNotNull()).alias("references"),
     )
 
 
@@ -113,119 +120,144 @@ def record_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- TEI documents ---------------------------------------------------------------------
 
 
-def _tei_person(fragment: Column) -> Column:
-    surname = M.text_at(fragment, "/*/" + M.element("persName") + "/" + M.element("surname"))
-    forename = M.text_at(fragment, "/*/" + M.element("persName") + "/" + M.element("forename"))
-    name = F.concat_ws(", ", surname, forename)
-    return F.coalesce(F.nullif(name, F.lit("")), M.text_at(fragment, "/*"))
+_PEOPLE = "array<struct<surname:string,forename:string,whole:string>>"
+_ENTRY = (
+    f"struct<analytic_title:string,journal_title:string,monogr_title:string,doi:string,raw_reference:string,first_authors:{_PEOPLE},"
+    f"authors:{_PEOPLE},date:string,volume:string,issue:string,page:string,page_from:string,page_to:string,analytic:boolean,"
+    f"monogr:boolean,publisher:string,editors:{_PEOPLE}>"
+)
 
 
-def _people(xml: Column, name: str) -> Column:
-    names = F.transform(M.fragments(xml, name), _tei_person)
-    return F.nullif(F.array_join(F.filter(names, lambda n: n.isNotNull()), "; "), F.lit(""))
+def _people_in(e: Element | None, name: str) -> list[dict]:
+    if e is None:
+        return []
 
+    def part(p: Element, name: str) -> str | None:
+        return M.text(M.first(s for n in M.children(p, "persName") for s in M.children(n, name)))
 
-def _first_fragment(xml: Column, name: str) -> Column:
-    return F.try_element_at(M.fragments(xml, name), F.lit(1))
+    return [{"surname": part(p, "surname"), "forename": part(p, "forename"), "whole": M.text(p)} for p in M.outermost(e, name)]
 
 
-def _doi_inside(xml: Column, prefix: str = "") -> Column:
-    is_doi = "[translate(@type,'DOI','doi')='doi'][normalize-space()]"
-    return F.lower(M.text_at(xml, f"{prefix}//{M.element('idno')}{is_doi}"))
+def _people(found: Column | str) -> Column:
+    """``Surname, Forename; ...``, or the whole text of a person without a name."""
+    def name(p: Column) -> Column:
+        parts = F.concat_ws(", ", X.clean_text(p["surname"]), X.clean_text(p["forename"]))
+        return F.coalesce(F.nullif(parts, F.lit("")), X.clean_text(p["whole"]))
 
+    names = F.filter(F.transform(found, name), lambda n: n.isNotNull())
+    return F.nullif(F.array_join(names, "; "), F.lit(""))
+
+
+def _doi_inside(e: Element) -> str | None:
+    return M.text(M.first(M.filled(i for i in M.inside(e, "idno") if (i.get("type") or "").lower() == "doi")))
 
-def _date(xml: Column, parent: str) -> Column:
-    first = f"(//{M.element(parent)}//{M.element('date')})[1]" if parent == "imprint" else (
-        f"(//{M.element(parent)}/{M.element('date')})[1]"
-    )
-    when = F.nullif(F.xpath_string(xml, F.lit(f"{first}/@when")), F.lit(""))
-    return F.coalesce(when, M.text_at(xml, first))
+
+def _date(e: Element | None) -> str | None:
+    """Attribute ``when`` of a date, else its text."""
+    return None if e is None else e.get("when") or M.text(e)
+
+
+def _read_header(root: Element) -> dict:
+    statement = M.first(M.inside(root, "titleStmt"))
+    sources = [s for d in M.inside(root, "fileDesc") for s in M.children(d, "sourceDesc")]
+    return {
+        "title": None if statement is None else M.text(M.first(M.children(statement, "title"))),
+        "doi": next((d for d in map(_doi_inside, sources) if d), None), "authors": _people_in(statement, "author"),
+        "date": _date(M.first(d for p in M.inside(root, "publicationStmt") for d in M.children(p, "date"))),
+    }
 
 
 def tei_header(df: DataFrame, xml: str = "xml") -> DataFrame:
     """Title, DOI, authors and date of every TEI document."""
-    x = F.col(xml)
-    statement = _first_fragment(x, "titleStmt")
-    return df.select(
-        *[c for c in df.columns if c != xml],
-        M.text_at(statement, "/*/" + M.element("title")).alias("tei_title"),
-        _doi_inside(x, f"//{M.element('fileDesc')}/{M.element('sourceDesc')}").alias("tei_doi"),
-        _people(statement, "author").alias("tei_author"),
-        _date(x, "publicationStmt").alias("tei_pub_date"),
+    keep = [c for c in df.columns if c != xml]
+    rows = df.select(*keep, M.parsed(xml, _read_header, f"struct<title:string,doi:string,authors:{_PEOPLE},date:string>").alias("_x"))
+    return rows.select(
+        *keep, X.clean_text("_x.title").alias("tei_title"), F.lower(X.clean_text("_x.doi")).alias("tei_doi"),
+        _people("_x.authors").alias("tei_author"), X.clean_text("_x.date").alias("tei_pub_date"),
     )
 
 
-def reference_type(fragment: Column) -> Column:
+def _entries(root: Element) -> list[Element]:
+    """References of the bibliographies; a reference inside another one belongs to it."""
+    return [b for found in M.outermost(root, "listBibl") for b in M.outermost(found, "biblStruct")]
+
+
+def _read_entry(b: Element) -> dict:
+    analytic, monogr = M.children(b, "analytic"), M.children(b, "monogr")
+    titles = [t for m in monogr for t in M.children(m, "title")]
+
+    def scope(unit: str) -> Element | None:
+        found = [s for s in M.inside(b, "biblScope") if s.get("unit") == unit]
+        return found[-1] if found else None
+
+    page = scope("page")
+    imprints = list(M.inside(b, "imprint"))
+    return {
+        "analytic_title": M.text(M.first(t for a in analytic for t in M.children(a, "title"))),
+        "journal_title": M.text(M.first(t for t in titles if t.get("level") == "j")), "monogr_title": M.text(M.first(titles)),
+        "doi": _doi_inside(b),
+        "raw_reference": M.text(M.first(n for n in M.inside(b, "note") if n.get("type") == "raw_reference")),
+        "first_authors": _people_in(M.first(M.inside(b, "analytic")), "author"), "authors": _people_in(M.first(M.inside(b, "monogr")), "author"),
+        "date": _date(M.first(d for i in imprints for d in M.inside(i, "date"))),
+        "volume": M.text(scope("volume")), "issue": M.text(scope("issue")), "page": M.text(page),
+        "page_from": None if page is None else page.get("from"), "page_to": None if page is None else page.get("to"),
+        "analytic": bool(analytic), "monogr": bool(monogr),
+        "publisher": M.text(M.first(p for i in imprints for p in M.children(i, "publisher"))), "editors": _people_in(b, "editor"),
+    }
+
+
+def reference_type(b: Column) -> Column:
     """Kind of a reference from the parts that exist."""
-    analytic = M.exists_at(fragment, f"/*/{M.element('analytic')}")
-    journal = M.exists_at(fragment, f"/*/{M.element('monogr')}/{M.element('title')}[@level='j']")
-    monograph = M.exists_at(fragment, f"/*/{M.element('monogr')}")
     return (
-        F.when(analytic & journal, "journal article")
-        .when(analytic & monograph, "book chapter")
-        .when(monograph, "book")
+        F.when(b["analytic"] & b["journal_title"].isNotNull(), "journal article")
+        .when(b["analytic"] & b["monogr"], "book chapter")
+        .when(b["monogr"], "book")
         .otherwise("other")
     )
 
 
-def _scope(fragment: Column, unit: str) -> str:
-    return f"(//{M.element('biblScope')}[@unit='{unit}'])[last()]"
-
-
 def tei_references(df: DataFrame, xml: str = "xml") -> DataFrame:
     """One row per reference of a TEI document, in document order."""
-    lists = M.fragments(xml, "listBibl")
-    entries = F.flatten(F.transform(lists, lambda b: M.fragments(b, "biblStruct")))
     keep = [c for c in df.columns if c != xml]
+    entries = M.parsed(xml, lambda root: [_read_entry(b) for b in _entries(root)], f"array<{_ENTRY}>")
     rows = df.select(*keep, F.posexplode(entries).alias("_pos", "_bibl"))
     b = F.col("_bibl")
-    monogr = f"/*/{M.element('monogr')}"
-    page = _scope(b, "page")
-    page_from = F.nullif(F.xpath_string(b, F.lit(f"{page}/@from")), F.lit(""))
-    page_to = F.nullif(F.xpath_string(b, F.lit(f"{page}/@to")), F.lit(""))
+    page_from, page_to = F.nullif(b["page_from"], F.lit("")), F.nullif(b["page_to"], F.lit(""))
     rows = rows.withColumns(
         {
-            "_analytic_title": M.text_at(b, f"/*/{M.element('analytic')}/{M.element('title')}"),
-            "_journal_title": M.text_at(b, f"{monogr}/{M.element('title')}[@level='j']"),
-            "_monogr_title": M.text_at(b, f"{monogr}/{M.element('title')}"),
-            "doi": _doi_inside(b),
-            "raw_reference": M.text_at(b, f"//{M.element('note')}[@type='raw_reference']"),
-            "author": F.coalesce(
-                _people(_first_fragment(b, "analytic"), "author"),
-                _people(_first_fragment(b, "monogr"), "author"),
-            ),
-            "_date": X.clean_text(_date(b, "imprint")),
-            "volume": M.text_at(b, _scope(b, "volume")),
-            "issue": M.text_at(b, _scope(b, "issue")),
-            "page": F.when(page_from.isNotNull(), F.concat_ws("-", page_from, page_to)).otherwise(
-                M.text_at(b, page)
-            ),
+            "raw_reference": X.clean_text(b["raw_reference"]),
+            "title": F.coalesce(X.clean_text(b["analytic_title"]), X.clean_text(b["monogr_title"])),
+            "venue": F.coalesce(X.clean_text(b["journal_title"]), X.clean_text(b["monogr_title"])),
+            "author": F.coalesce(_people(b["first_authors"]), _people(b["authors"])),
+            "doi": F.lower(X.clean_text(b["doi"])),
+            "volume": X.clean_text(b["volume"]),
+            "issue": X.clean_text(b["issue"]),
+            "page": F.when(page_from.isNotNull(), F.concat_ws("-", page_from, page_to)).otherwise(X.clean_text(b["page"])),
             "type": reference_type(b),
-            "publisher": M.text_at(b, f"//{M.element('imprint')}/{M.element('publisher')}"),
-            "editor": _people(b, "editor"),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "title": F.coalesce("_analytic_title", "_monogr_title"),
-            "venue": F.coalesce("_journal_title", "_monogr_title"),
-            "pub_date": F.coalesce("_date", X.extract_year("raw_reference")),
+            "publisher": X.clean_text(b["publisher"]),
+            "editor": _people(b["editors"]),
             "tei_ref_position": F.col("_pos") + 1,
         }
     )
+    rows = rows.withColumn("pub_date", F.coalesce(X.clean_text(b["date"]), X.extract_year("raw_reference")))
     temp = X.stable_id(None, "title", "author", "pub_date", "venue", "page", "raw_reference")
     rows = rows.withColumn("id", F.coalesce(F.concat(F.lit("doi:"), F.col("doi")), temp))
     return rows.select(*keep, *OC_METADATA_COLUMNS, "raw_reference", "tei_ref_position")
 
 
+def _read_raw(root: Element) -> dict:
+    return {
+        "notes": [M.text(n) for n in M.outermost(root, "note", type="raw_reference")], "entries": [M.text(b) for b in _entries(root)]
+    }
+
+
 def raw_references(df: DataFrame, xml: str = "xml") -> DataFrame:
     """Raw reference notes of a TEI document, else the text of each entry."""
-    notes = M.texts(xml, "note", r"type\s*=\s*[\"']raw_reference[\"']")
-    lists = M.fragments(xml, "listBibl")
-    entries = F.flatten(F.transform(lists, lambda b: M.texts(b, "biblStruct")))
-    chosen = F.when(F.size(notes) > 0, notes).otherwise(entries)
     keep = [c for c in df.columns if c != xml]
-    return df.select(*keep, F.posexplode(chosen).alias("_pos", "raw_reference")).select(
+    rows = df.select(*keep, M.parsed(xml, _read_raw, "struct<notes:array<string>,entries:array<string>>").alias("_x"))
+    rows = rows.select(*keep, M.cleaned_texts(F.col("_x.notes")).alias("_notes"), M.cleaned_texts(F.col("_x.entries")).alias("_entries"))
+    chosen = F.when(F.size("_notes") > 0, F.col("_notes")).otherwise(F.col("_entries"))
+    return rows.select(*keep, F.posexplode(chosen).alias("_pos", "raw_reference")).select(
         *keep, (F.col("_pos") + 1).alias("reference_index"), "raw_reference"
     )
 

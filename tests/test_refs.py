@@ -152,3 +152,34 @@ def test_comments_hold_no_elements(spark):
     xml = "<r><!-- <ref>no</ref> --><ref>a<!-- <ref> --></ref><![CDATA[<!--]]><ref>b</ref><!-- x\n--><ref>c</ref></r>"
     df = spark.createDataFrame([(xml,), (None,), ("",)], "xml string")
     assert [r.t for r in df.select(texts("xml", "ref").alias("t")).collect()] == [["a", "b", "c"], None, []]
+
+
+HARD_TEI = """<t:TEI xmlns:t="http://www.tei-c.org/ns/1.0"><t:text><t:listBibl>
+<t:biblStruct><t:analytic><t:title note="a > b"><![CDATA[<title>Tags & </biblStruct> in</title>]]> text</t:title></t:analytic>
+<t:monogr><t:title level='j'>J</t:title><t:imprint><t:date when="2001"/></t:imprint></t:monogr>
+<t:relatedItem><t:biblStruct><t:monogr><t:title>Inner</t:title></t:monogr></t:biblStruct></t:relatedItem>
+<!-- <t:biblStruct><t:monogr/></t:biblStruct> --></t:biblStruct>
+<t:biblStruct/></t:listBibl></t:text></t:TEI>"""
+HARD_JATS = """<j:article xmlns:j="http://jats"><j:article-title>1 &lt; 2 <j:i>and</j:i> <![CDATA[<ref>]]></j:article-title>
+<j:ref id="a > b"><j:mixed-citation>Outer <j:ref id="n"><j:mixed-citation>inner</j:mixed-citation></j:ref></j:mixed-citation></j:ref>
+<j:ref id=""><j:mixed-citation><![CDATA[<b>x</b>]]></j:mixed-citation></j:ref></j:article>"""
+
+
+def test_xml_as_a_parser_reads_it(spark):
+    """CDATA that holds tags, ``>`` in attributes, nested elements of one name, prefixes, comments."""
+    df = spark.createDataFrame([("d", HARD_TEI)], "identifier string, xml string")
+    one, two = refs.tei_references(df).orderBy("tei_ref_position").collect()
+    assert (one.title, one.venue, one.pub_date, one.type) == ("<title>Tags & </biblStruct> in</title> text", "J", "2001", "journal article")
+    assert (two.title, two.type, two.raw_reference) == (None, "other", None)
+    raw = refs.raw_references(df).collect()
+    assert [r.raw_reference for r in raw] == ["<title>Tags & </biblStruct> in</title> text J Inner"]
+    r = refs.parse_jats(spark.createDataFrame([("d", HARD_JATS)], "identifier string, xml string")).first()
+    assert r.article_title == "1 < 2 and <ref>"
+    assert [(x.ref_id, x.citation) for x in r.references] == [("a > b", "Outer inner"), (None, "<b>x</b>")]
+
+
+def test_xml_of_nothing(spark):
+    df = spark.createDataFrame([("a", None), ("b", ""), ("c", "<x>")], "identifier string, xml string")
+    assert refs.tei_references(df).count() == refs.raw_references(df).count() == 0
+    assert [r.tei_title for r in refs.tei_header(df).collect()] == [None] * 3
+    assert [r.article_title for r in refs.parse_jats(df).collect()] == [None] * 3
