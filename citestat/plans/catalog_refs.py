@@ -11,8 +11,8 @@ from citestat.plans.catalog_text import clean_sql
 from citestat.plans.registry import register, rounded, rounded_sql
 from citestat.sources import read_table
 
-# One article per document; its even lines are the references, its odd ones a second
-# reading of them. The same fields in SQL, to check what is read back from XML or JSON.
+# One article per document; its lines are the references. Where two readings are compared, the
+# even lines are one and the odd ones the other. The same fields in SQL, to check what is read back from XML or JSON.
 ART = f"""t AS (SELECT doc_id AS conv_id, i AS turn, CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, line AS text,
   {clean_sql('line')} AS txt FROM {LINES_SQL}),
 c AS (SELECT conv_id, 'oai:' || conv_id AS identifier, 'p' || conv_id AS publisher_id,
@@ -21,7 +21,7 @@ c AS (SELECT conv_id, 'oai:' || conv_id AS identifier, 'p' || conv_id AS publish
       CASE WHEN conv_id % 2 = 0 THEN (conv_id % 5)::VARCHAR END AS issue,
       CASE WHEN conv_id % 4 <> 0 THEN conv_id::VARCHAR END AS fpage, CASE WHEN conv_id % 8 < 6 THEN (conv_id + 9)::VARCHAR END AS lpage
       FROM (SELECT doc_id AS conv_id FROM documents)),
-r AS (SELECT conv_id, turn, txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM t WHERE role = 'user')"""
+r AS (SELECT conv_id, turn, txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM t)"""
 PAGE_SQL = "CASE WHEN fpage IS NULL THEN NULL WHEN lpage IS NULL THEN fpage ELSE fpage || '-' || lpage END"
 CITING_SQL = "coalesce('doi:' || lower(doi), 'temp:' || substr(md5(concat_ws(' | ', identifier, publisher_id, article_title{extra})), 1, 16))"
 
@@ -221,10 +221,10 @@ def raw_references(spark, sf):
 # ---- parsed references ------------------------------------------------------------------
 
 
-def parsed_json(spark, sf, role="user"):
-    """Parser output per turn: lists for the title, plain values elsewhere, some not JSON."""
+def parsed_json(spark, sf, role=None):
+    """Parser output per line (of one role): lists for the title, plain values elsewhere, some not JSON."""
     lines = document_lines(spark, sf).select(F.col("doc_id").alias("conv_id"), F.posexplode("lines").alias("turn", "text"))
-    t = lines.filter(F.col("turn") % 2 == (0 if role == "user" else 1))
+    t = lines if role is None else lines.filter(F.col("turn") % 2 == (0 if role == "user" else 1))
     family = F.concat(F.lit("Fam"), F.col("turn"))
     parsed = F.struct(
         F.when(F.col("turn") % 5 != 4, F.array(F.col("text"), F.lit("second"))).alias("title"),
@@ -243,17 +243,18 @@ def parsed_json(spark, sf, role="user"):
     )
 
 
-def _parsed_sql(role: str) -> str:
+def _parsed_sql(role: str | None = None) -> str:
+    of_role = f"role = '{role}' AND " if role else ""
     return f"""SELECT conv_id, 'oai:' || conv_id AS identifier, turn AS reference_index,
     CASE WHEN turn % 5 <> 4 THEN txt END AS title,
     CASE WHEN conv_id % 3 <> 0 THEN 'Fam' || turn || CASE WHEN conv_id % 2 = 0 THEN ', Giv' ELSE '' END END AS author,
     (2000 + conv_id % 9)::VARCHAR AS pub_date, CASE WHEN conv_id % 4 <> 0 THEN 'Venue ' || conv_id END AS venue,
-    turn::VARCHAR AS volume FROM t WHERE role = '{role}' AND conv_id % 10 <> 9"""
+    turn::VARCHAR AS volume FROM t WHERE {of_role}conv_id % 10 <> 9"""
 
 
 @register(
     "N9_parsed_references",
-    f"""WITH {ART}, p AS ({_parsed_sql('user')}) SELECT identifier, reference_index, md5(title) AS title, author, pub_date, venue, volume,
+    f"""WITH {ART}, p AS ({_parsed_sql()}) SELECT identifier, reference_index, md5(title) AS title, author, pub_date, venue, volume,
     NULL::VARCHAR AS issue, 'article-journal' AS type FROM p""",
 )
 def parsed_references(spark, sf):
@@ -265,7 +266,7 @@ def parsed_references(spark, sf):
 
 @register(
     "N16_error_rows",
-    f"WITH {ART} SELECT 'oai:' || conv_id AS identifier, turn AS reference_index, md5(text) AS raw_reference, 'parser output is not JSON' AS error FROM t WHERE role = 'user' AND conv_id % 10 = 9",
+    f"WITH {ART} SELECT 'oai:' || conv_id AS identifier, turn AS reference_index, md5(text) AS raw_reference, 'parser output is not JSON' AS error FROM t WHERE conv_id % 10 = 9",
 )
 def error_rows(spark, sf):
     _, bad = refs.split_unparsed(parsed_json(spark, sf))
@@ -286,7 +287,7 @@ SOURCES = {"grobid": "grobid_raw_reference", "gold": "gold_pickle_reference"}
 
 def compared(spark, sf):
     return refs.compare_sources(
-        {SOURCES["gold"]: parsed_json(spark, sf), SOURCES["grobid"]: parsed_json(spark, sf, "assistant")}
+        {SOURCES["gold"]: parsed_json(spark, sf, "user"), SOURCES["grobid"]: parsed_json(spark, sf, "assistant")}
     )
 
 
