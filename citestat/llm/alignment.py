@@ -31,13 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from citestat.llm.common import col
-from citestat.llm.packing import RUN_BYTES, TOKENIZERS, PieceTokenizer
+from citestat.llm.packing import TOKENIZERS, PieceTokenizer
 from citestat.session import save_and_reload
 
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 #: Bytes of text that are aligned together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of text that are tokenized together, and distinct pieces that are encoded at a time.
+RUN_BYTES = 1 << 19
+ENCODED = 4096
 
 #: The piece tokenizer's mark for a space.
 SPACE_MARK = "▁"
@@ -92,9 +95,12 @@ class Side(PieceTokenizer):
 
     def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece, or the single id -1 if they don't spell it."""
-        known = self._vocabulary.bytes
-        found = self._vocabulary.encode([p.decode() for p in pieces])
-        return [ids if b"".join([known[i] for i in ids]) == piece else [-1] for ids, piece in zip(found, pieces, strict=True)]
+        known, out = self._vocabulary.bytes, []
+        for at in range(0, len(pieces), ENCODED):
+            some = pieces[at : at + ENCODED]
+            found = self._vocabulary.encode([p.decode() for p in some])
+            out += [ids if b"".join([known[i] for i in ids]) == piece else [-1] for ids, piece in zip(found, some, strict=True)]
+        return out
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -241,6 +247,8 @@ def aligned_blocks(
             yield pa.RecordBatch.from_arrays(columns, names=labels)
             empty = [pa.nulls(1, t) for t in (id_type, *[pa.int64()] * 4, pa.string(), pa.string(), *[pa.list_(pa.int32())] * 2)]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *empty, *lists], names=labels)
+            # a worker gives back what the block has needed
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())
