@@ -63,7 +63,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many texts of each length to take, at most ``counts``, so that the lengths add up to ``budget``.
 
-    The sum never exceeds the budget, and falls short of it only as far as the last texts force.
+    Where no choice meets the budget, the sum is the nearest one, above or below, that the program at the end
+    can reach.
     """
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
@@ -88,25 +89,28 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
 
 def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: the sum nearest to ``budget`` from below, over at most ``free`` of each length."""
-    via = np.full(budget + 1, -1, dtype=np.int64)
-    reached = np.zeros(budget + 1, dtype=bool)
+    """Bounded knapsack: the sum nearest to ``budget``, the lower one of two, over at most ``free`` of each length."""
+    # nothing beyond the budget and one more text can be nearer than what lies below it
+    top = budget + int(lengths[free > 0].max(initial=0))
+    via = np.full(top + 1, -1, dtype=np.int32)
+    reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
     for i in range(len(lengths)):
         n, c = int(lengths[i]), int(free[i])
         if not n or reached[budget]:
             continue
-        c, times = min(c, budget // n), 1
+        c, times = min(c, top // n), 1
         while c > 0 and not reached[budget]:
             # 1, 2, 4, ... copies as one item reach every number of copies
             m = min(times, c)
             c, times, w = c - m, times * 2, n * m
-            new = np.flatnonzero(reached[: budget + 1 - w] & ~reached[w:]) + w
+            new = np.flatnonzero(reached[: top + 1 - w] & ~reached[w:]) + w
             via[new] = len(items)
             reached[new] = True
             items.append((i, m))
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     taken = np.zeros(len(lengths), dtype=np.int64)
     while at:
         i, m = items[via[at]]
