@@ -113,7 +113,7 @@ def test_extract(spark):
     found = htmltext.extract(pages)
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     got = sorted(((r["page_id"] or 0), r["n_chars"], r["text"][:20]) for r in found.collect())
-    assert got == [(0, 0, ""), (1, len(STORY_TEXT), STORY_TEXT[:20]), (1, len(STORY_TEXT), STORY_TEXT[:20]), (2, 1_500_000, "éword word word word ")]
+    assert got == [(0, 0, ""), (1, len(STORY_TEXT), STORY_TEXT[:20]), (1, len(STORY_TEXT), STORY_TEXT[:20]), (2, 1_500_000, "éword word word word")]
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
