@@ -239,24 +239,23 @@ def linkage_summary(spark, sf):
 
 # ---- enrichment -------------------------------------------------------------------------
 #
-# References are the user turns of the conversations. The provider answers a query with a
-# near copy of the title and the other sentences of the turn.
+# References are the turns of the conversations, their texts the titles. The provider answers a
+# query with a near copy of the title and the sentences of the turn from the second on.
 
-TITLE = "split_part(split_part(text, chr(10), 1), '.', 1)"
 REF_FIELDS = {
     "identifier": "'oai:' || conv_id", "reference_index": "turn",
-    "title": TITLE, "author": "'Author ' || md5('' || (conv_id % 50)) || '; Second'",
+    "title": "text", "author": "'Author ' || md5('' || (conv_id % 50)) || '; Second'",
     "pub_date": "'' || (2000 + conv_id % 20)", "venue": "'Journal of ' || md5('' || (conv_id % 7))",
     "doi": "CASE WHEN turn % 3 = 2 THEN 'https://doi.org/10.9/X' || conv_id || '.' || turn END",
     "volume": "'' || (turn % 2)", "raw_reference": "text",
 }
-REFS_SQL = "rf AS (SELECT {} FROM conversations WHERE role = 'user')".format(
+REFS_SQL = "rf AS (SELECT {} FROM conversations)".format(
     ", ".join(f"{e} AS {n}" for n, e in REF_FIELDS.items())
 )
 
 
 def references(spark, sf):
-    turns = read_table(spark, sf, "conversations").filter("role = 'user'")
+    turns = read_table(spark, sf, "conversations")
     none = F.lit(None).cast("string")
     return turns.select(
         *[F.expr(e).alias(n) for n, e in REF_FIELDS.items()],
@@ -292,13 +291,13 @@ def responses(spark, sf):
 
 QUERY_SQL = f"""coalesce(nullif(concat_ws(' ', {clean_sql('title')}, string_split({clean_sql('author')}, ';')[1],
  {year_sql('pub_date')}, {clean_sql('venue')}), ''), {clean_sql('raw_reference')})"""
-# the provider's answer to every query: first the near copy, then the assistant titles
+# the provider's answer to every query: first the near copy, then the other sentences
 CANDS_SQL = f"""{REFS_SQL},
 q AS (SELECT *, {QUERY_SQL} AS query, {doi_sql('doi')} AS existing FROM rf),
 firstq AS (SELECT query, identifier AS fi, reference_index AS fr, title AS ft, pub_date AS fp, author AS fa, venue AS fv
   FROM q WHERE existing IS NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY identifier, reference_index) = 1),
 oth AS (SELECT 'oai:' || conv_id AS oi, turn, unnest(string_split(text, '.')[2:]) AS ot, generate_subscripts(string_split(text, '.')[2:], 1) AS p
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 cand AS (
   SELECT query, 0 AS pos, lower('10.8/' || fi || '.' || fr) AS cdoi, {clean_sql("ft || ' x'")} AS ctitle, string_split(fa, ';')[1] AS cauthor,
          fp AS cyear, fv AS cvenue FROM firstq
@@ -413,7 +412,7 @@ def candidate_diagnostics(spark, sf):
     rounded_sql(
         f"""WITH {REFS_SQL}, p AS (SELECT x.identifier, x.reference_index, x.title AS t1, y.title AS t2, x.author AS a1, y.author AS a2,
           x.venue AS v1, y.venue AS v2, {doi_sql('x.doi')} AS d1, {doi_sql('y.doi')} AS d2, x.volume = y.volume AND x.pub_date = y.pub_date AS slot
-          FROM rf x JOIN rf y ON x.identifier = y.identifier AND y.reference_index = x.reference_index + 2)
+          FROM rf x JOIN rf y ON x.identifier = y.identifier AND y.reference_index = x.reference_index + 1)
         SELECT identifier, reference_index, 50 * coalesce(d1 = d2, false)::INT + 25 * {sim_sql('t1', 't2')}
           + 10 * {sim_sql("string_split(a1, ';')[1]", "string_split(a2, ';')[1]")} + 10 * {sim_sql('v1', 'v2')} + 5 * slot::INT AS score FROM p""",
         ["score"],
@@ -424,7 +423,7 @@ def pair_score(spark, sf):
     r = references(spark, sf).withColumn("doi_enriched", F.lit(None).cast("string"))
     fields = [c for c in r.columns if c not in ("identifier", "reference_index")]
     a = r.select("identifier", "reference_index", F.struct(*fields).alias("a"))
-    b = r.select("identifier", (F.col("reference_index") - 2).alias("reference_index"), F.struct(*fields).alias("b"))
+    b = r.select("identifier", (F.col("reference_index") - 1).alias("reference_index"), F.struct(*fields).alias("b"))
     pairs = a.join(b, ["identifier", "reference_index"])
     return rounded(pairs.select("identifier", "reference_index", dedup.matching_score("a", "b").alias("score")))
 
@@ -440,14 +439,55 @@ def deduplicated(spark, sf):
     return dedup.deduplicate(r, ["identifier", "reference_index"])
 
 
-@register("L18_leader_deduplication")
+def key_sim_sql(c: str) -> str:
+    """Similarity of the key ``c`` of the rows x and y, as `sim_sql` has it; accents are replaced in the keys."""
+    return f"CASE WHEN x.{c} = '' OR y.{c} = '' THEN 0 ELSE 1.0::DOUBLE - levenshtein(x.{c}, y.{c}) / greatest(length(x.{c}), length(y.{c})) END"
+
+
+def _key_sql(x: str) -> str:
+    return f"translate(lower(coalesce({clean_sql(x)}, '')), 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+
+# the sequential scan itself: one step per record, carrying the canonical records so far
+DEDUP_SQL = f"""WITH RECURSIVE {ENRICHED_SQL.removeprefix('WITH ')},
+dr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY identifier, reference_index) AS pos, coalesce({doi_sql('doi_enriched')}, {doi_sql('doi')}, '') AS dk,
+       {_key_sql('title')} AS tk, {_key_sql("string_split(author, ';')[1]")} AS ak, {_key_sql('venue')} AS vk,
+       coalesce({year_sql('pub_date')}, '') AS yk, volume AS sk,
+       coalesce('doi:' || coalesce({doi_sql('doi_enriched')}, {doi_sql('doi')}), 'temp:' || substr(md5(coalesce(nullif(concat_ws(' | ', {clean_sql('title')},
+         {clean_sql('author')}, {clean_sql('pub_date')}, {clean_sql('venue')}, {clean_sql('raw_reference')}), ''), 'empty')), 1, 16)) AS rid FROM en),
+-- titles are compared only where their lengths let the score exceed 30
+d0 AS MATERIALIZED (SELECT x.pos AS p, y.pos AS q, 50 * (x.dk = y.dk AND x.dk <> '')::INT AS d, x.tk AS xt, y.tk AS yt, {key_sim_sql('ak')} AS a, {key_sim_sql('vk')} AS v,
+       5 * (x.yk = y.yk AND x.yk <> '' AND x.sk = y.sk)::INT AS s FROM dr x JOIN dr y ON y.pos < x.pos),
+d1 AS MATERIALIZED (SELECT * FROM d0 WHERE d + 25.0::DOUBLE * least(length(xt), length(yt)) / greatest(length(xt), length(yt), 1) + 10 * a + 10 * v + s > 29.999),
+dp AS MATERIALIZED (SELECT * FROM (SELECT p, q, d + 25 * CASE WHEN xt = '' OR yt = '' THEN 0 ELSE 1.0::DOUBLE - levenshtein(xt, yt) / greatest(length(xt), length(yt)) END
+       + 10 * a + 10 * v + s AS score FROM d1) WHERE score > 30),
+dq AS MATERIALIZED (SELECT p, list(q) AS qs FROM dp GROUP BY p),
+scan(done, heads) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT done + 1, CASE WHEN list_has_any(heads, coalesce(qs, [])) THEN heads ELSE list_append(heads, done + 1) END
+  FROM scan LEFT JOIN dq ON p = done + 1 WHERE done < (SELECT count(*) FROM dr)),
+hd AS (SELECT unnest(heads) AS h FROM (SELECT heads FROM scan ORDER BY done DESC LIMIT 1)),
+bm AS (SELECT p, arg_max(q, (score, -q)) AS q, max(score) AS score FROM dp JOIN hd ON q = h WHERE p NOT IN (SELECT h FROM hd) GROUP BY p),
+dd AS MATERIALIZED (SELECT dr.*, 'citing:' || identifier AS citing, coalesce(bm.q, dr.pos) AS cpos, bm.score AS mscore,
+       CASE WHEN bm.q IS NULL THEN 'new_canonical' ELSE 'matched_existing' END AS status FROM dr LEFT JOIN bm ON bm.p = dr.pos),
+dm AS MATERIALIZED (SELECT dd.*, c.rid AS cid, c.title AS ctitle2 FROM dd JOIN dr c ON c.pos = dd.cpos)"""
+
+
+@register(
+    "L18_leader_deduplication",
+    rounded_sql(f"""{DEDUP_SQL} SELECT identifier, reference_index, cpos AS canonical_position, mscore AS matching_score, status AS dedup_status FROM dd""",
+                ["matching_score"]),
+)
 def leader_dedup(spark, sf):
     return rounded(
         deduplicated(spark, sf).select("identifier", "reference_index", "canonical_position", "matching_score", "dedup_status")
     )
 
 
-@register("L19_mapping_table")
+@register(
+    "L19_mapping_table",
+    rounded_sql(f"""{DEDUP_SQL} SELECT rid AS original_temp_id, cid AS canonical_id, mscore AS matching_score, status AS dedup_status,
+      title, ctitle2 AS canonical_title FROM dm""", ["matching_score"]),
+)
 def mapping(spark, sf):
     return rounded(dedup.mapping_table(deduplicated(spark, sf)))
 
@@ -461,11 +501,24 @@ def citing_of_references(spark, sf):
     )
 
 
-@register("L20_export_metadata")
+@register(
+    "L20_export_metadata",
+    f"""{DEDUP_SQL},
+    xm AS (SELECT 'citing:' || identifier AS id, 'Article ' || identifier AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS pub_date, NULL::VARCHAR AS venue, NULL::VARCHAR AS volume,
+             NULL::VARCHAR AS type, 0 AS part, 0 AS ord FROM (SELECT DISTINCT identifier FROM rf)
+           UNION ALL SELECT cid, {clean_sql('title')}, {clean_sql('author')}, {clean_sql('pub_date')}, {clean_sql('venue')}, {clean_sql('volume')},
+             'journal article', 1, -pos FROM dm WHERE status = 'new_canonical')
+    SELECT id, title, author, pub_date, venue, volume, NULL AS issue, NULL AS page, type, NULL AS publisher, NULL AS editor
+    FROM xm QUALIFY row_number() OVER (PARTITION BY id ORDER BY part, ord) = 1""",
+)
 def export_metadata(spark, sf):
     return dedup.export_metadata(citing_of_references(spark, sf), deduplicated(spark, sf), ["identifier"])
 
 
-@register("L20_export_citations")
+@register(
+    "L20_export_citations",
+    f"""{DEDUP_SQL}, lastm AS (SELECT rid, arg_max(cid, pos) AS cid FROM dm GROUP BY rid)
+    SELECT DISTINCT dm.citing AS citing_id, lastm.cid AS cited_id FROM dm JOIN lastm ON lastm.rid = dm.rid""",
+)
 def export_citations(spark, sf):
     return dedup.citation_pairs(deduplicated(spark, sf))
