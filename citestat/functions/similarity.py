@@ -50,8 +50,7 @@ def common_subsequence(masks: dict[str, int], width: int, text: str) -> int:
     """Length of the longest common subsequence, one machine-wide addition per character."""
     full = (1 << width) - 1
     state = full
-    for ch in text:
-        m = masks.get(ch)
+    for m in map(masks.get, text):
         if m:
             u = state & m
             state = ((state + u) | (state - u)) & full

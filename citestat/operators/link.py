@@ -30,7 +30,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FUZZY_THRESHOLD = 96.0
 MIN_GAP_TO_SECOND = 3.0
 NO_SECOND = -999.0
+# titles and characters of a tile; scoring a tile pair takes time with the product of the characters
 TILE = 4000
+TILE_CHARS = 100_000
+# lengths grow by this factor from class to class; classes this near are scored first
+LENGTH_STEP = 1.25
+NEAR = 3
+# bounds are allowed this much above the exact value, so that rounding loses no candidate
+ROUNDING = 1e-9
 MATCH_PRIORITY = {
     "doi_exact": 1, "title_exact_year": 2, "manual_confirmed": 3, "title_fuzzy_year_auto": 4,
 }
@@ -160,7 +167,7 @@ def without_matched(a: DataFrame, b: DataFrame, *matches: DataFrame) -> tuple[Da
 
 
 def _tile_scorer(floor: float):
-    """Two best right-hand titles, of at least ``floor``, for every left-hand title of a tile.
+    """Two best right-hand titles, of at least ``floor`` and the row's ``known``, per left-hand title of a tile.
 
     The characters two titles share bound their common subsequence, so titles are tried in
     the order of that bound until it falls below the floor or the second best score found.
@@ -177,91 +184,124 @@ def _tile_scorer(floor: float):
             ids, copies = right["first_id"].tolist(), right["copies"].tolist()
             lengths = np.array([len(t) for t in titles], dtype=np.int64)
             bags = np.stack([bag(t) for t in titles])
-            for title in left["title_norm"]:
-                width, masks = len(title), char_masks(title)
+            masks_of: dict[int, dict[str, int]] = {}
+            for key, title, known in zip(left["title_id"], left["title_norm"], left["known"]):
+                width, masks, least = len(title), char_masks(title), max(floor, known)
                 total = lengths + width
                 shared = np.minimum(bags, bag(title)).sum(axis=1)
                 bound = (1.0 - (total - 2 * shared) / total) * 100.0
-                possible = np.flatnonzero(bound >= floor)
+                possible = np.flatnonzero(bound >= least)
                 top: list[tuple[float, str, int]] = []
                 for j in possible[np.argsort(-bound[possible], kind="stable")]:
                     if len(top) == 2 and bound[j] < -top[1][0]:
                         break
-                    common = common_subsequence(masks, width, titles[j])
+                    if lengths[j] <= width:
+                        common = common_subsequence(masks, width, titles[j])
+                    else:
+                        # one step per character of the shorter title
+                        if j not in masks_of:
+                            masks_of[j] = char_masks(titles[j])
+                        common = common_subsequence(masks_of[j], int(lengths[j]), title)
                     score = (1.0 - (total[j] - 2 * common) / total[j]) * 100.0
-                    if score >= floor:
+                    if score >= least:
                         top = sorted(top + [(-float(score), ids[j], copies[j])])[:2]
-                out += [(title, -s, i, c) for s, i, c in top]
-        frame = pd.DataFrame(out, columns=["title_norm", "score", "first_id", "copies"])
-        first = left if len(left) else right
-        for key in ("venue_internal_id", "year"):
-            frame[key] = first[key].iloc[0]
-        return frame
+                out += [(key, -s, i, c) for s, i, c in top]
+        return pd.DataFrame(out, columns=["title_id", "score", "first_id", "copies"])
 
     return run
 
 
-def fuzzy_candidates(a: DataFrame, b: DataFrame, tile: int = TILE, floor: float = 0.0) -> DataFrame:
+def _length_tiles(titles: DataFrame, tile: int, tile_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Titles with length class and part, and one row per class of a block: parts, shortest and longest length."""
+    keys = ["venue_internal_id", "year"]
+    length = F.length("title_norm")
+    classed = titles.withColumns(
+        {"n": length, "cls": F.floor(F.log(F.greatest(length, F.lit(1))) / F.log(F.lit(LENGTH_STEP))).cast("int")}
+    )
+    classes = classed.groupBy(*keys, "cls").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n") / tile_chars)).cast("int").alias("parts"),
+        F.min("n").alias("shortest"), F.max("n").alias("longest"),
+    )
+    parts = classes.select(*keys, "cls", "parts")
+    placed = classed.join(parts, [*keys, "cls"]).withColumn("part", F.pmod(F.xxhash64("title_norm"), "parts").cast("int"))
+    return placed.drop("parts"), classes
+
+
+def _two_best(scored: DataFrame) -> DataFrame:
+    w = W.partitionBy("title_id").orderBy(F.desc("score"), F.asc("first_id"))
+    return scored.withColumn("place", F.row_number().over(w)).filter("place <= 2")
+
+
+def fuzzy_candidates(a: DataFrame, b: DataFrame, tile: int = TILE, floor: float = 0.0,
+                     tile_chars: int = TILE_CHARS) -> DataFrame:
     """Best and second best title of the other source in the same venue and year, per A row.
 
     ``floor`` leaves out candidates that score less. Automatic matches stay the same for any
     floor up to threshold minus gap; the review queue needs floor 0.
 
-    Copies of a title are scored once. A large block is cut into tiles of about ``tile``
-    titles on each side, each tile pair keeps two titles per A title, and the tile results
-    are merged; no pair is dropped and no task holds a whole block.
+    Copies of a title are scored once. Titles of a block lie in classes of similar length, cut
+    into tiles of about ``tile`` titles or ``tile_chars`` characters. Near classes are scored
+    first. A title then meets a tile of the other classes only if the lengths there allow its
+    second best score so far, so no candidate is lost, and no task holds a whole block.
     """
     keys = ["venue_internal_id", "year"]
     a = a.dropna(subset=keys + ["title_norm"])
     b = b.dropna(subset=keys + ["title_norm"])
-    titles_a = a.select(*keys, "title_norm").distinct()
+    titles_a = a.select(*keys, "title_norm").distinct().withColumn(
+        "title_id", F.sha2(F.concat_ws(" ", *keys, "title_norm"), 256)
+    )
     titles_b = b.groupBy(*keys, "title_norm").agg(
         F.min("article_id_scopus").alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
-
-    def tiles_of(titles: DataFrame, name: str) -> DataFrame:
-        return titles.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
-
-    blocks = tiles_of(titles_a, "tiles_a").join(tiles_of(titles_b, "tiles_b"), keys)
-
-    def own_tile(n: str):
-        return F.pmod(F.xxhash64("title_norm"), F.col(n)).cast("int")
-
-    def every_tile(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = (
-        titles_a.join(blocks, keys)
-        .select(*keys, "title_norm", own_tile("tiles_a").alias("ta"), every_tile("tiles_b").alias("tb"))
-    )
-    right = (
-        titles_b.join(blocks, keys)
-        .select(*keys, "title_norm", "first_id", "copies",
-                own_tile("tiles_b").alias("tb"), every_tile("tiles_a").alias("ta"))
-    )
-    types = dict(a.dtypes)
-    schema = (
-        f"title_norm string, score double, first_id string, copies bigint, "
-        f"venue_internal_id {types['venue_internal_id']}, year {types['year']}"
-    )
-    group = [*keys, "ta", "tb"]
-    # fresh key columns, as both sides may stem from one table
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    left, right = spread(left, *group), spread(right, *group)
-    scored = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_tile_scorer(floor), schema)
-    w = W.partitionBy(*keys, "title_norm").orderBy(F.desc("score"), F.asc("first_id"))
-    best = (
-        scored.withColumns({"rn": F.row_number().over(w), "next_score": F.lead("score").over(w)})
-        .filter(F.col("rn") == 1)
-        .select(
-            *keys, "title_norm",
-            F.col("first_id").alias("article_id_scopus"),
-            F.col("score").alias("best_score"),
-            F.when(F.col("copies") > 1, F.col("score"))
-            .otherwise(F.coalesce("next_score", F.lit(NO_SECOND))).alias("second_score"),
+    placed_a, _ = _length_tiles(titles_a, tile, tile_chars)
+    placed_b, classes_b = _length_tiles(titles_b, tile, tile_chars)
+    placed_a, placed_b = save_and_reload(placed_a, "fuzzy-a"), save_and_reload(placed_b, "fuzzy-b")
+    classes_b = save_and_reload(classes_b.withColumnRenamed("cls", "cls_b"), "fuzzy-classes")
+
+    group = [*keys, "cls", "part", "cls_b", "part_b"]
+    schema = "title_id string, score double, first_id string, copies bigint"
+    # the length in the class that is nearest to the title's own gives the highest score possible
+    nearest = F.greatest("shortest", F.least("longest", "n"))
+    possible = F.coalesce(F.least("n", nearest) * 200.0 / (F.col("n") + nearest), F.lit(100.0))
+    apart = F.abs(F.col("cls") - F.col("cls_b"))
+
+    def score(left: DataFrame) -> DataFrame:
+        """``left``: titles with ``known`` and the class of the other side that they meet."""
+        left = left.withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        left = left.select(*group, "title_id", "title_norm", "known")
+        met = left.select(*group).distinct()
+        right = placed_b.withColumnsRenamed({"cls": "cls_b", "part": "part_b"})
+        right = right.join(met, [*keys, "cls_b", "part_b"]).select(*group, "title_norm", "first_id", "copies")
+        # fresh columns, as both sides may stem from one table
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
+        pairs = spread(left, *group).groupBy(*group).cogroup(spread(right, *group).groupBy(*group))
+        return pairs.applyInPandas(_tile_scorer(floor), schema)
+
+    meets = placed_a.join(classes_b, keys)
+    near = meets.filter((apart <= NEAR) & (possible + ROUNDING >= floor)).withColumn("known", F.lit(floor))
+    best = save_and_reload(_two_best(score(near)), "fuzzy-near")
+    if 200.0 / (1.0 + LENGTH_STEP**NEAR) >= floor:
+        # with a second copy of the best title, or a second best one, lower scores change nothing
+        known = best.groupBy("title_id").agg(
+            F.max(F.when((F.col("place") == 2) | (F.col("copies") > 1), F.col("score"))).alias("known")
         )
+        far = (
+            meets.filter(apart > NEAR).join(known, "title_id", "left")
+            .withColumn("known", F.coalesce("known", F.lit(floor))).filter(possible + ROUNDING >= F.col("known"))
+        )
+        best = _two_best(best.drop("place").unionByName(score(far)))
+    two = best.groupBy("title_id").agg(
+        F.max_by(F.struct("first_id", "score", "copies"), -F.col("place")).alias("top"),
+        F.max(F.when(F.col("place") == 2, F.col("score"))).alias("next_score"),
+    )
+    found = two.join(placed_a.select(*keys, "title_norm", "title_id"), "title_id").select(
+        *keys, "title_norm",
+        F.col("top.first_id").alias("article_id_scopus"),
+        F.col("top.score").alias("best_score"),
+        F.when(F.col("top.copies") > 1, F.col("top.score"))
+        .otherwise(F.coalesce("next_score", F.lit(NO_SECOND))).alias("second_score"),
     )
-    return a.join(best, [*keys, "title_norm"]).withColumn(
+    return a.join(found, [*keys, "title_norm"]).withColumn(
         "score_gap", F.col("best_score") - F.col("second_score")
     )
 

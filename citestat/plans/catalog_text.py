@@ -321,7 +321,31 @@ def levenshtein_similarity(spark, sf):
     return rounded(pairs.select("conv_id", "turn", S.levenshtein_similarity("a", "b").alias("similarity")))
 
 
-@register("F27_indel_ratio")
+def common_sql(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two lists of characters, diagonal by diagonal.
+
+    Entry i + 1 of ``p`` is the length for the first i characters of ``x`` and k - i of ``y``; ``q`` is the diagonal before.
+    """
+    zeros = f"list_resize([0], CASE WHEN k = 1 THEN len({x}) + 1 ELSE 0 END, 0)"
+    return f"""list_reduce(
+      list_transform(range(1, len({x}) + len({y}) + 1), lambda k: {{'k': k, 'p': {zeros}, 'q': {zeros}}}),
+      lambda s, e: {{'k': e.k, 'q': s.p, 'p': list_transform(s.p, lambda v, i:
+        CASE WHEN i = 1 OR e.k - i + 1 < 1 OR e.k - i + 1 > len({y}) THEN 0
+             WHEN {x}[i - 1] = {y}[e.k - i + 1] THEN s.q[i - 1] + 1 ELSE greatest(s.p[i - 1], v) END)}}
+    ).p[len({x}) + 1]"""
+
+
+@register(
+    "F27_indel_ratio",
+    rounded_sql(
+        f"""WITH {TURNS_SQL}, o AS (SELECT conv_id, turn, length(a) + length(b) AS total, length(a) <= length(b) AS shorter, a, b FROM p),
+        ch AS (SELECT conv_id, turn, total, string_split(CASE WHEN shorter THEN a ELSE b END, '') AS x,
+          string_split(CASE WHEN shorter THEN b ELSE a END, '') AS y FROM o)
+        SELECT conv_id, turn, CASE WHEN total = 0 THEN 100.0::DOUBLE
+          ELSE (1.0::DOUBLE - (total - 2 * {common_sql('x', 'y')}) / total::DOUBLE) * 100.0 END AS ratio FROM ch""",
+        ["ratio"],
+    ),
+)
 def indel_ratio(spark, sf):
     pairs = _turn_pairs(spark, sf)
     return rounded(pairs.select("conv_id", "turn", S.indel_ratio("a", "b").alias("ratio")))

@@ -149,20 +149,19 @@ nm AS (
 
 # ---- documents as two article sources ---------------------------------------------------
 #
-# The title is the first sentence, the year follows from the first word, the DOI is a hash of
+# The title is the whole text, the year follows from the first word, the DOI is a hash of
 # the text that a third of the documents lack, the venue is the language. Which index holds a
 # document follows from its source name.
 
 
 def document_articles(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
-    title = F.split(F.split("text", "\n")[0], r"\.")[0]
     doi = F.when(F.col("n_chars") % 3 != 0, F.concat(F.lit("10.5/"), F.md5("text")))
     first_word = F.length(F.split("text", " ")[0])
     return docs.select(
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key"),
         (F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))).cast("bigint").alias("venue_internal_id"),
-        F.col("lang").alias("venue"), title.alias("title"), doi.alias("doi"),
+        F.col("lang").alias("venue"), F.col("text").alias("title"), doi.alias("doi"),
         (F.lit(2000) + F.least(first_word, F.lit(99))).cast("string").alias("pub_date"),
         F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 7).cast("string")).alias("citedby_count"),
         (F.col("source") < "src2").alias("in_a"), "n_chars",
@@ -188,15 +187,12 @@ def articles_b(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-TITLE_SQL = "string_split(string_split(text, chr(10))[1], '.')[1]"
-
-
 def linkage_sql(title_norm) -> str:
     """CTEs ``a`` and ``b``: both prepared sources; ``title_norm`` writes the title key."""
     return f"""
 docs AS (
   SELECT lpad(doc_id::VARCHAR, 12, '0') AS key, ascii(lang) * 256 + ascii(substr(lang, 2, 1)) AS venue_internal_id,
-         lang AS venue, {TITLE_SQL} AS title,
+         lang AS venue, text AS title,
          CASE WHEN n_chars % 3 <> 0 THEN '10.5/' || md5(text) END AS doi,
          2000 + least(length(string_split(text, ' ')[1]), 99) AS year,
          coalesce(CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END, 0)::DOUBLE AS cites, source < 'src2' AS in_a, n_chars
