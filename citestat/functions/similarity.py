@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
@@ -13,6 +14,14 @@ from citestat.functions.text import clean_text, extract_year
 # ship the small helpers with the task, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# bits of a word, the top one is for the carry
+WORD = 63
+FULL = np.uint64((1 << WORD) - 1)
+# words of a batch, most entries of its table; fewer words than the last are treated pair by pair
+BATCH_WORDS = 4096
+BATCH_CELLS = 4_000_000
+SMALL_BATCH = 200
+
 
 def levenshtein_similarity(a: Column | str, b: Column | str) -> Column:
     """``1 - distance / longer length`` on cleaned lower-case texts; 0 if either is empty."""
@@ -57,23 +66,88 @@ def common_subsequence(masks: dict[str, int], width: int, text: str) -> int:
     return width - state.bit_count()
 
 
-def ratio_from_common(common: int, len_a: int, len_b: int) -> float:
-    total = len_a + len_b
-    if total == 0:
-        return 100.0
-    return (1.0 - (total - 2 * common) / total) * 100.0
+def common_subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs of texts.
+
+    Pairs of like length go together as columns of words, the bits of the shorter texts. One step treats a
+    character of the longer texts; a word is one step behind the word before it, whose carry it takes, so
+    all words of all pairs change together.
+    """
+    out = np.zeros(len(a), dtype=np.int64)
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]
+    words = [-(-len(x) // WORD) for x, _ in pairs]
+    order = sorted((i for i, w in enumerate(words) if w), key=lambda i: (words[i], len(pairs[i][1])))
+    done = 0
+    while done < len(order):
+        n = 1
+        while done + n < len(order) and words[order[done + n]] * (n + 1) <= BATCH_WORDS:
+            n += 1
+        batch = order[done:done + n]
+        done += n
+        if n * words[batch[-1]] < SMALL_BATCH:
+            for i in batch:
+                x, y = pairs[i]
+                # one addition per character of the shorter text
+                out[i] = common_subsequence(char_masks(y), len(y), x)
+        else:
+            out[batch] = _common_batch([pairs[i][0] for i in batch], [pairs[i][1] for i in batch])
+    return out
+
+
+def _common_batch(short: list[str], long: list[str]) -> np.ndarray:
+    n, words, steps = len(short), -(-max(map(len, short)) // WORD), max(map(len, long))
+    points = [[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in side] for side in (short, long)]
+    used = np.zeros(0x110000, dtype=bool)
+    for side in points:
+        for p in side:
+            used[p] = True
+    # code 0 stands outside a text and matches nothing
+    code = np.cumsum(used)
+    alphabet = int(code[-1]) + 1
+    if n > 1 and n * alphabet * words > BATCH_CELLS:
+        half = n // 2
+        return np.concatenate([_common_batch(short[:half], long[:half]), _common_batch(short[half:], long[half:])])
+    bits = np.zeros((words * WORD, n), dtype=np.int64)
+    place = np.zeros((words - 1 + steps + words - 1, n), dtype=np.int64)
+    for k in range(n):
+        bits[: len(short[k]), k] = code[points[0][k]]
+        place[words - 1 : words - 1 + len(long[k]), k] = code[points[1][k]]
+    column, row = np.arange(n) * alphabet, np.arange(words)[:, None] * (n * alphabet)
+    place += column
+    masks = np.zeros(words * n * alphabet, dtype=np.uint64)
+    for bit in range(WORD):
+        masks[bits[bit::WORD] + column + row] |= np.uint64(1 << bit)
+    masks[column + row] = 0
+    state = np.full((words, n), FULL)
+    carry = np.zeros((words + 1, n), dtype=np.uint64)
+    match, both, index = np.empty_like(state), np.empty_like(state), np.empty((words, n), dtype=np.int64)
+    for t in range(words - 1, len(place)):
+        np.add(place[t - words + 1 : t + 1][::-1], row, out=index)
+        np.take(masks, index, out=match, mode="clip")
+        np.bitwise_and(state, match, out=both)
+        np.add(state, both, out=match)
+        np.add(match, carry[:-1], out=match)
+        np.right_shift(match, WORD, out=carry[1:])
+        np.bitwise_xor(state, both, out=state)
+        np.bitwise_or(state, match, out=state)
+        np.bitwise_and(state, FULL, out=state)
+    return words * WORD - np.bitwise_count(state).sum(axis=0, dtype=np.int64)
+
+
+def ratios_from_common(common: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """0-100 similarity; ``total`` holds the lengths of both texts together, 0 gives 100."""
+    return np.where(total == 0, 100.0, (1.0 - (total - 2 * common) / np.maximum(total, 1)) * 100.0)
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0-100 similarity by insertions and deletions: ``200 * LCS / (len a + len b)``."""
-    out: list[float | None] = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-        else:
-            out.append(ratio_from_common(common_subsequence(char_masks(x), len(x), y), len(x), len(y)))
-    return pd.Series(out, dtype="float64")
+    both = (a.notna() & b.notna()).to_numpy()
+    x, y = a[both].tolist(), b[both].tolist()
+    total = np.array([len(p) + len(q) for p, q in zip(x, y)], dtype=np.int64)
+    out = np.full(len(a), np.nan)
+    out[both] = ratios_from_common(common_subsequences(x, y), total)
+    return pd.Series(out).astype("object").where(both, None)
 
 
 def indel_ratio_native(a: Column | str, b: Column | str) -> Column:

@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from citestat.functions import text as X
-from citestat.functions.similarity import char_masks, common_subsequence
+from citestat.functions.similarity import common_subsequences, ratios_from_common
 from citestat.operators.selection import first_match, manually_accepted
 from citestat.operators.tables import one_to_one, union_all
 from citestat.session import save_and_reload, spread
@@ -33,6 +33,8 @@ NO_SECOND = -999.0
 # titles and characters of a tile; scoring a tile pair takes time with the product of the characters
 TILE = 4000
 TILE_CHARS = 100_000
+# pairs of titles whose bounds a task holds at once
+SLAB = 200_000
 # lengths grow by this factor from class to class; classes this near are scored first
 LENGTH_STEP = 1.25
 NEAR = 3
@@ -169,43 +171,53 @@ def without_matched(a: DataFrame, b: DataFrame, *matches: DataFrame) -> tuple[Da
 def _tile_scorer(floor: float):
     """Two best right-hand titles, of at least ``floor`` and the row's ``known``, per left-hand title of a tile.
 
-    The characters two titles share bound their common subsequence, so titles are tried in
-    the order of that bound until it falls below the floor or the second best score found.
+    The characters two titles share bound their common subsequence. The pairs of highest bound are scored
+    first, for all left-hand titles together, and then those whose bound reaches the second best score found.
     """
-    codes = {ch: i for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
-
-    def bag(title: str) -> np.ndarray:
-        return np.bincount([codes[ch] for ch in title], minlength=len(codes)).astype(np.int32)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    code = np.zeros(128, dtype=np.int64)
+    code[[ord(ch) for ch in letters]] = np.arange(1, len(letters) + 1)
+
+    def bags(titles: list[str]) -> np.ndarray:
+        counted = [np.bincount(code[np.frombuffer(t.encode(), np.uint8)], minlength=len(letters) + 1) for t in titles]
+        return np.stack(counted).astype(np.int32)
+
+    def scores(left: list[str], right: list[str], least: np.ndarray, bags_r: np.ndarray) -> np.ndarray:
+        """Score of every pair that may be among the two best of its left-hand title; -1 for the others."""
+        total = np.array([len(t) for t in left])[:, None] + np.array([len(t) for t in right])[None, :]
+        shared = np.stack([np.minimum(bags_r, own).sum(axis=1) for own in bags(left)])
+        bound = ratios_from_common(shared, total)
+        found = np.full(bound.shape, -1.0)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        done = 0
+        for upto in (2, 8, len(right)):
+            upto = min(upto, len(right))
+            rows = np.repeat(np.arange(len(left)), upto - done)
+            cols = order[:, done:upto].ravel()
+            limit = least if done < 2 else np.maximum(least, np.partition(found, -2, axis=1)[:, -2])
+            open_ = bound[rows, cols] >= limit[rows]
+            rows, cols = rows[open_], cols[open_]
+            common = common_subsequences([left[i] for i in rows], [right[j] for j in cols])
+            found[rows, cols] = ratios_from_common(common, total[rows, cols])
+            done = upto
+        return found
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             titles = right["title_norm"].tolist()
             ids, copies = right["first_id"].tolist(), right["copies"].tolist()
-            lengths = np.array([len(t) for t in titles], dtype=np.int64)
-            bags = np.stack([bag(t) for t in titles])
-            masks_of: dict[int, dict[str, int]] = {}
-            for key, title, known in zip(left["title_id"], left["title_norm"], left["known"]):
-                width, masks, least = len(title), char_masks(title), max(floor, known)
-                total = lengths + width
-                shared = np.minimum(bags, bag(title)).sum(axis=1)
-                bound = (1.0 - (total - 2 * shared) / total) * 100.0
-                possible = np.flatnonzero(bound >= least)
-                top: list[tuple[float, str, int]] = []
-                for j in possible[np.argsort(-bound[possible], kind="stable")]:
-                    if len(top) == 2 and bound[j] < -top[1][0]:
-                        break
-                    if lengths[j] <= width:
-                        common = common_subsequence(masks, width, titles[j])
-                    else:
-                        # one step per character of the shorter title
-                        if j not in masks_of:
-                            masks_of[j] = char_masks(titles[j])
-                        common = common_subsequence(masks_of[j], int(lengths[j]), title)
-                    score = (1.0 - (total[j] - 2 * common) / total[j]) * 100.0
-                    if score >= least:
-                        top = sorted(top + [(-float(score), ids[j], copies[j])])[:2]
-                out += [(key, -s, i, c) for s, i, c in top]
+            bags_r = bags(titles)
+            step = max(1, SLAB // len(titles))
+            for start in range(0, len(left), step):
+                part = left.iloc[start:start + step]
+                least = np.maximum(floor, part["known"].to_numpy())
+                found = scores(part["title_norm"].tolist(), titles, least, bags_r)
+                for key, low, row in zip(part["title_id"], least, found):
+                    if len(titles) > 2:
+                        low = max(low, np.partition(row, -2)[-2])
+                    best = sorted((-float(row[j]), ids[j], copies[j]) for j in np.flatnonzero(row >= low))
+                    out += [(key, -s, i, c) for s, i, c in best[:2]]
         return pd.DataFrame(out, columns=["title_id", "score", "first_id", "copies"])
 
     return run

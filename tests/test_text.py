@@ -117,3 +117,17 @@ def test_slot(spark):
     )
     got = [r[0] for r in df.orderBy("i").select(S.same_slot(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"))).collect()]
     assert got == [True, True, False]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcde é漢😀", "abcdefghijklmnopqrstuvwxyz "])
+@pytest.mark.parametrize("cells,small", [(4_000_000, 200), (9_000, 1), (4_000_000, 10**9)])
+def test_common_subsequences_of_many_pairs(monkeypatch, alphabet, cells, small):
+    monkeypatch.setattr(S, "BATCH_CELLS", cells)
+    monkeypatch.setattr(S, "SMALL_BATCH", small)
+    rng = random.Random(3)
+    a, b = (
+        ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 62, 63, 64, 126, 127, 150]))) for _ in range(60)]
+        for _ in range(2)
+    )
+    assert S.common_subsequences(a, b).tolist() == [models.lcs(x, y) for x, y in zip(a, b)]
+    assert S.common_subsequences([], []).tolist() == []
