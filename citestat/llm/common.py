@@ -83,6 +83,14 @@ def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def bits_for(keys: int) -> int:
+    """Size of a bitmap for `likely_in`: 16 to 32 bits a key, a power of two from 2**20 to 2**27.
+
+    The largest is some 2 million rows to broadcast. From some 8 million keys on more rows pass in vain.
+    """
+    return 1 << min(max((16 * keys).bit_length(), 20), 27)
+
+
 def likely_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in the one column of ``keys``, and a few others.
 

@@ -7,15 +7,16 @@ compared, not a hash, so every hit is verified. Nothing is shuffled for the scan
 windows found go on, to be joined with the ids of their items.
 
 The set is shipped only while the benchmark has at most `MAX_WINDOWS` distinct windows. A
-larger benchmark takes `_scan_joined`: the windows of the texts are hashed and joined with
-those of the benchmark, which gives the same rows through a shuffle.
+larger benchmark takes `_scan_joined`: a broadcast bitmap of window hashes, sized from their
+number, passes the windows of the texts that may be known, and only these are shuffled, to be
+joined with those of the benchmark as words. It gives the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citestat.llm.common import col, free_name, worked_out
+from citestat.llm.common import bits_for, col, free_name, likely_in, worked_out
 from citestat.session import save_and_reload
 
 #: Digits, letters and everything outside ASCII; A to Z are lowered afterwards.
@@ -87,7 +88,7 @@ def _scan_inline(docs: DataFrame, text_col: str, windows: list[tuple[str, int]],
 
 
 def _scan_joined(docs: DataFrame, text_col: str, windows: DataFrame, words: str, hits: str, k: int) -> DataFrame:
-    """The same columns by a join on hashed windows, for a benchmark of any size."""
+    """The same columns by a join on windows, for a benchmark of any size; unlikely windows are not shuffled."""
     row = free_name(docs, "row")
     saved = save_and_reload(
         docs.withColumn(words, leak_words(col(text_col))).withColumn(row, F.monotonically_increasing_id()), "leak-words"
@@ -103,7 +104,8 @@ def _scan_joined(docs: DataFrame, text_col: str, windows: DataFrame, words: str,
     empty = F.expr("CAST(array() AS array<struct<start:int,n:int,gram:string>>)")
     if grams is None:
         return saved.withColumn(hits, empty).drop(row)
-    found = grams.join(windows.select("gram", "n"), ["gram", "n"], "left_semi").groupBy(F.col(row).alias("row0")).agg(
+    likely = likely_in(grams, F.col("gram"), windows.select("gram"), bits_for(windows.count()))
+    found = likely.join(windows.select("gram", "n"), ["gram", "n"], "left_semi").groupBy(F.col(row).alias("row0")).agg(
         F.collect_list(F.struct((F.col("pos") + 1).alias("start"), "n", "gram")).alias(hits)
     )
     return saved.join(found, F.col(row) == F.col("row0"), "left").withColumn(hits, F.coalesce(hits, empty)).drop(row, "row0")

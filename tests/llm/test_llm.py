@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citestat.llm import (
     chat, classifier, decontamination, linededup, mixing, neardup, packing, quality_rules, queries, sharding, toxicity,
 )
+from citestat.llm.common import bits_for
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string, hits int, h1 int, row string"
@@ -83,6 +84,17 @@ def test_decontamination(spark, odd, none):
     assert decontamination.leak_report(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_large_benchmark_gives_the_same_rows(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    sets = []
+    for most in (decontamination.MAX_WINDOWS, 0):
+        found = decontamination.scan(docs, bench, words="w_", hits="h_", max_windows=most)[0]
+        sets.append({(r["doc_id"], r["n"], tuple(sorted(h["gram"] for h in r["h_"])), tuple(sorted(h["start"] for h in r["h_"])))
+                     for r in found.selectExpr("doc_id", "size(w_) AS n", "h_").collect()})
+    assert sets[0] == sets[1] and any(x[2] for x in sets[0])
+    assert [bits_for(n) for n in (0, 65_536, 200_000, 10**9)] == [1 << 20, 1 << 21, 1 << 22, 1 << 27]
+
+
 def sets_of(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
