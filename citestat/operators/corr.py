@@ -22,21 +22,26 @@ def contingency(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     )
 
 
-def _same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
+def _with_totals(cells: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every cell with the one row of its group in ``totals``; missing keys meet. No window gathers the cells."""
+    if not keys:
+        return cells.join(F.broadcast(totals))
+    values = [c for c in totals.columns if c not in keys]
+    totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], *values)
+    same = F.lit(True)
     for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return cells.join(totals, same).drop(*[f"_{k}" for k in keys])
 
 
 def _weighted_pearson(cells: DataFrame, keys: Sequence[str], x: str, y: str, name: str) -> DataFrame:
-    """NULL for fewer than two rows or a constant side."""
-    group = W.partitionBy(*keys)
-    n = F.sum("c").over(group)
-    centred = cells.select(
-        *keys, "c",
-        (F.col(x) - F.sum(F.col("c") * F.col(x)).over(group) / n).alias("dx"),
-        (F.col(y) - F.sum(F.col("c") * F.col(y)).over(group) / n).alias("dy"),
+    """NULL for fewer than two rows or a constant side. Two passes: means, then moments about them."""
+    keys, n = list(keys), F.sum("c")
+    means = cells.groupBy(*keys).agg(
+        (F.sum(F.col("c") * F.col(x)) / n).alias("_mean_x"), (F.sum(F.col("c") * F.col(y)) / n).alias("_mean_y")
+    )
+    centred = _with_totals(cells, means, keys).select(
+        *keys, "c", (F.col(x) - F.col("_mean_x")).alias("dx"), (F.col(y) - F.col("_mean_y")).alias("dy")
     )
     c, dx, dy = F.col("c"), F.col("dx"), F.col("dy")
     r = F.try_divide(F.sum(c * dx * dy), F.sqrt(F.sum(c * dx * dx)) * F.sqrt(F.sum(c * dy * dy)))
@@ -94,9 +99,9 @@ def kendall(cells: DataFrame, keys: Sequence[str], name: str = "kendall_tau",
     """
     keys = list(keys)
     ranked = _ranked(cells, keys) if ranked is None else ranked
-    digits = F.length(F.conv(F.max("pos_y").over(W.partitionBy(*keys)).cast("string"), 10, 2))
+    digits = F.length(F.conv(F.max("pos_y").cast("string"), 10, 2))
     spread = (
-        ranked.withColumn("_digits", digits)
+        _with_totals(ranked, ranked.groupBy(*keys).agg(digits.alias("_digits")), keys)
         .withColumn("bit", F.explode(F.sequence(F.lit(0), F.col("_digits") - 1)))
         .withColumn("bucket", F.call_function("shiftright", F.col("pos_y"), F.col("bit") + 1))
         .withColumn("is_one", F.call_function("shiftright", F.col("pos_y"), F.col("bit")) % 2 == 1)
