@@ -90,6 +90,17 @@ def test_fuzzy_stage_against_greedy_loop(spark, seed, tile):
     assert [q[2:] for q in queue] == [pytest.approx(w[2:]) for w in review]
 
 
+def test_fuzzy_titles_of_unlike_lengths_and_empty_sides(spark):
+    # the only candidates are far in length, so only the second round finds them
+    left = [("a1", 1, "x" * 300, "2000", None), ("a2", 1, "y", "2000", None)]
+    right = [("b1", 1, "x" * 20, "2000", None), ("b2", 1, "xy" * 30, "2000", None)]
+    a, b = sources(spark, left, right)
+    got = {r.article_id_oc: (r.article_id_scopus, r.best_score, r.second_score) for r in link.fuzzy_candidates(a, b).collect()}
+    want = {i: sorted((-models.ratio(t, u), j) for j, _, u, _, _ in right) for i, _, t, _, _ in left}
+    assert got == {i: (w[0][1], pytest.approx(-w[0][0]), pytest.approx(-w[1][0])) for i, w in want.items()}
+    assert link.fuzzy_candidates(a, b.limit(0)).count() == link.fuzzy_candidates(a.limit(0), b).count() == 0
+
+
 def test_review_round_trip_and_master(spark):
     long = "a quite long title about the reception of translated novels"
     left = [
