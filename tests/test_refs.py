@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from citestat.functions import similarity as S
 from citestat.functions.xml import texts
 from citestat.operators import enrich, refs
 
@@ -183,3 +185,22 @@ def test_xml_of_nothing(spark):
     assert refs.tei_references(df).count() == refs.raw_references(df).count() == 0
     assert [r.tei_title for r in refs.tei_header(df).collect()] == [None] * 3
     assert [r.article_title for r in refs.parse_jats(df).collect()] == [None] * 3
+
+
+def test_similarities_of_many_candidates(spark, capsys):
+    texts = ["Zażółć  gęślą jaźń", "abc", "ABC x", "xabcy", "", None, "a" * 200 + "b" + "c" * 70, "a" * 190 + "d" + "c" * 70, "👍 abc"]
+    df = spark.createDataFrame([(t, texts) for t in texts], "t string, ts array<string>").unionByName(
+        spark.createDataFrame([("abc", None), ("abc", [])], "t string, ts array<string>")
+    )
+    both = df.select(
+        "t", "ts", S.levenshtein_similarities("t", F.col("ts")).alias("got"),
+        F.transform("ts", lambda o: S.levenshtein_similarity(F.col("t"), o)).alias("want"),
+    )
+    rows = both.collect()
+    assert len(rows) == len(texts) + 2 and all(r.got == r.want for r in rows)
+    # a plan works out the distances of a reference once, whatever is taken from them
+    refs_df = spark.createDataFrame([(1, "T", "A", "2000", "V", None, "raw")], "i int, title string, author string, pub_date string, venue string, doi string, raw_reference string")
+    cands = spark.createDataFrame([], CAND)
+    enrich.diagnostics(enrich.score_candidates(refs_df, cands), ["i"]).filter("accepted").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("ArrowEvalPython [") == 1 and "levenshtein(" not in plan
