@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -139,3 +140,13 @@ def test_merge_by_priority(spark):
         stage("manual_confirmed", ("a2", "b1"), ("a3", "b3")), stage("title_exact_year", ("a4", "b3")),
     )
     assert pairs(merged) == [("a1", "b1"), ("a4", "b3"), ("a5", "b5")]
+
+
+def test_titles_as_digests(spark):
+    one = ("br/1", 1, "V", "A  Title & more", "2001", "doi:10.1/x", "2")
+    a = spark.createDataFrame([one, one, (*one[:3], None, *one[4:])], A)
+    plain = {(r.title_oc, r.title_norm) for r in link.prepare_a(a).collect()}
+    short = link.prepare_a(a, digests=True)
+    md5 = lambda t: t and hashlib.md5(t.encode()).hexdigest()
+    sha = lambda t: t and hashlib.sha256(t.encode()).hexdigest()
+    assert short.count() == 2 and {(r.title_oc, r.title_norm) for r in short.collect()} == {(md5(t), sha(n)) for t, n in plain}
