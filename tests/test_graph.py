@@ -1,8 +1,10 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 
 import models
+from citestat import session
 from citestat.operators import graph
 
 
@@ -97,3 +99,37 @@ def test_node_metrics_and_subgraph(spark):
     best = {r.node for r in graph.top_n(ranks, "pagerank", 3, ["node"]).collect()}
     want = sorted((a, b) for a, b in edges if a in best and b in best)
     assert sorted(map(tuple, graph.induced_by_top(e, ranks, 3).collect())) == want
+
+
+def test_hubs_of_components(spark, monkeypatch):
+    # stars of several sizes in a chain, joined by nodes of more edges than a task may join
+    monkeypatch.setattr(graph, "HUB", 2)
+    pairs = [(c, c * 10 + i) for c in range(1, 9) for i in range(1, 8)] + [(c * 10 + 1, (c + 1) * 10 + 2) for c in range(1, 4)] + [(500, 501)]
+    edges = spark.createDataFrame(pairs, "citing long, cited long")
+    parent = {n: n for p in pairs for n in p}
+    for _ in pairs:
+        for u, v in pairs:
+            parent[u] = parent[v] = min(parent[u], parent[v])
+    assert {r.node: r.component for r in graph.weak_components(edges).collect()} == parent
+
+
+def test_rank_rounds_leave_out_nodes_that_cite_nothing(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 1), (1, 5), (4, 6)], "citing long, cited long")
+    kept, plain = [], graph.kept_by
+    monkeypatch.setattr(graph, "kept_by", lambda df, *keys: kept.append(df.count()) or plain(df, *keys))
+    got = {r.node: r.pagerank for r in graph.pagerank(edges, tolerance=1e-13).collect()}
+    assert kept == [2, 2]
+    rank, out = dict.fromkeys(range(1, 7), 1 / 6), {1: [2, 5], 2: [1, 3], 4: [1, 6]}
+    for _ in range(200):
+        lost = sum(rank[n] for n in (3, 5, 6))
+        rank = {n: 0.15 / 6 + 0.85 * (lost / 6 + sum(rank[c] / 2 for c, to in out.items() if n in to)) for n in rank}
+    assert all(abs(got[n] - rank[n]) < 1e-12 for n in rank)
+
+
+def test_only_one_process_limits_the_partitions():
+    def width(master):
+        return session.shuffle_width(SimpleNamespace(
+            conf=SimpleNamespace(get=lambda _: "600"), sparkContext=SimpleNamespace(master=master, defaultParallelism=12)))
+
+    assert width("local-cluster[3,4,10240]") == width("spark://host:7077") == 600
+    assert width("local[12]") == width("local[*]") == 24
