@@ -218,16 +218,20 @@ def weak_components(edges: DataFrame) -> DataFrame:
     Large-star / small-star: every round hangs nodes below smaller ones, and the number of
     rounds grows with the logarithm of the graph, not with its diameter.
     """
-    def distinct(df: DataFrame) -> DataFrame:
-        return spread(df, "u").distinct()
+    def saved(df: DataFrame) -> DataFrame:
+        # each star is a small plan of its own: one plan for both reads its table many times over
+        return save_and_reload(spread(df, "u").distinct(), "wcc")
 
-    def large_star(df: DataFrame, low: DataFrame) -> DataFrame:
+    def large_star(df: DataFrame, n_rows: int) -> DataFrame:
+        low = df.groupBy("u").agg(F.min("v").alias("m"))
         # every row has v < u, so a node without smaller neighbours has no row as u
+        below = low.select(F.col("u").alias("_v"), "m")
+        if n_rows <= HUB:
+            return df.join(below, F.col("v") == F.col("_v"), "left").select("u", F.coalesce("m", "v").alias("v"))
         hubs = df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).select(F.col("v").alias("hub"))
         known = hubs.join(low, F.col("hub") == F.col("u"), "left").select("hub", F.coalesce("m", "hub").alias("to"))
         # at most one hub per `HUB` rows
         marked = df.join(F.broadcast(known), F.col("v") == F.col("hub"), "left")
-        below = low.select(F.col("u").alias("_v"), "m")
         rest = spread(marked.filter("hub IS NULL").select("u", "v"), "v")
         rest = rest.join(below, F.col("v") == F.col("_v"), "left").select("u", F.coalesce("m", "v").alias("v"))
         return rest.unionByName(marked.filter("hub IS NOT NULL").select("u", F.col("to").alias("v")))
@@ -237,22 +241,23 @@ def weak_components(edges: DataFrame) -> DataFrame:
         hung = df.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.unionByName(low.select("u", F.col("m").alias("v")))
 
+    def signature(df: DataFrame) -> tuple:
+        # a set of edges is unchanged when its size and hash sum are
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     ordered = edges.select(F.greatest("citing", "cited").alias("u"), F.least("citing", "cited").alias("v"))
-    current = save_and_reload(distinct(ordered.filter("u <> v")), "wcc")
-    signature = None
+    current = saved(ordered.filter("u <> v"))
+    now = signature(current)
     # stars only ever hang lower, so the loop ends
-    for _ in count():
-        low = current.groupBy("u").agg(F.min("v").alias("m"))
-        following = save_and_reload(distinct(small_star(distinct(large_star(current, low)))), "wcc")
+    while now[0]:
+        large = saved(large_star(current, now[0]))
+        following = saved(small_star(large))
+        discard(large)
         discard(current)
-        current = following
-        # a set of edges is unchanged when its size and hash sum are
-        now = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if tuple(now) == signature:
+        current, before = following, now
+        now = signature(current)
+        if now == before:
             break
-        signature = tuple(now)
     nodes = _ends(edges).select("node").distinct()
     parent = current.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(parent, nodes["node"] == parent["u"], "left").select(

@@ -1,4 +1,6 @@
 import random
+from contextlib import redirect_stdout
+from io import StringIO
 from types import SimpleNamespace
 
 import pytest
@@ -113,6 +115,29 @@ def test_hubs_of_components(spark, monkeypatch):
     assert {r.node: r.component for r in graph.weak_components(edges).collect()} == parent
 
 
+def test_rounds_of_components_are_small_plans(spark, monkeypatch):
+    reads, plain = [], graph.save_and_reload
+
+    def counted(df, name="stage"):
+        shown = StringIO()
+        with redirect_stdout(shown):
+            df.explain()
+        reads.append(shown.getvalue().count("FileScan"))
+        return plain(df, name)
+
+    monkeypatch.setattr(graph, "save_and_reload", counted)
+    pairs = [(i, i // 2) for i in range(1, 60)]
+    got = graph.weak_components(spark.createDataFrame(pairs, "citing long, cited long")).collect()
+    assert {r.component for r in got} == {0} and len(got) == 60
+    assert reads[0] == 0 and max(reads) <= 3
+
+
+def test_components_without_edges(spark):
+    none = spark.createDataFrame([(1, 1)], "citing long, cited long")
+    assert [tuple(r) for r in graph.weak_components(none).collect()] == [(1, 1)]
+    assert graph.weak_components(none.limit(0)).count() == 0
+
+
 def test_rank_rounds_leave_out_nodes_that_cite_nothing(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 1), (1, 5), (4, 6)], "citing long, cited long")
     kept, plain = [], graph.kept_by
