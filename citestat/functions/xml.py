@@ -1,6 +1,6 @@
 """XML documents, each parsed once, whatever its namespaces and prefixes are.
 
-A reader gets the root element and picks what it needs; its strings are raw and are cleaned by
+A reader gets the root element, all names without namespaces, and picks what it needs; its strings are raw and are cleaned by
 Spark afterwards. CDATA sections are text, comments are left out.
 """
 
@@ -24,6 +24,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Reader = Callable[[Element], Any]
 
+# text of the documents that are parsed and held at once
+SLICE_BYTES = 1 << 20
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -48,14 +51,22 @@ def parsed(xml: Column | str, reader: Reader, kind: str, broken: Any = None) ->
         if document is None:
             return None
         try:
-            return reader(ElementTree.fromstring(document))
+            root = ElementTree.fromstring(document)
         except ElementTree.ParseError:
             return broken
-
-    def read(documents: pa.Array) -> pa.Array:
-        return pa.array([one(d) for d in documents.to_pylist()], arrow)
-
-    read.__annotations__ = {"documents": pa.Array, "return": pa.Array}
+        # names lose their namespaces once, so that elements are found by name without Python code for each
+        for e in root.iter():
+            e.tag = local(e)
+        return reader(root)
+
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for documents in batches:
+            # a share of the documents at a time bounds what their strings and results need, whatever the size of a batch
+            size = max(1, int(len(documents) * SLICE_BYTES / max(documents.nbytes, SLICE_BYTES)))
+            for at in range(0, len(documents), size):
+                yield pa.array([one(d) for d in documents.slice(at, size).to_pylist()], arrow)
+
+    read.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(read, kind)(_col(xml))
 
 
@@ -65,12 +76,12 @@ def local(e: Element) -> str:
 
 
 def children(e: Element, name: str) -> list[Element]:
-    return [c for c in e if local(c) == name]
+    return e.findall(name)
 
 
 def inside(e: Element, name: str) -> Iterator[Element]:
     """All elements of a name below ``e``, in document order."""
-    return (c for c in e.iter() if c is not e and local(c) == name)
+    return (c for c in e.iter(name) if c is not e)
 
 
 def outermost(e: Element, name: str, **attributes: str) -> list[Element]:
@@ -78,7 +89,7 @@ def outermost(e: Element, name: str, **attributes: str) -> list[Element]:
     out, todo = [], list(reversed(e))
     while todo:
         c = todo.pop()
-        if local(c) == name and all(c.get(k.replace("_", "-")) == v for k, v in attributes.items()):
+        if c.tag == name and all(c.get(k.replace("_", "-")) == v for k, v in attributes.items()):
             out.append(c)
         else:
             todo += reversed(c)

@@ -9,6 +9,7 @@ from citestat.operators import refs, tables
 from citestat.plans.catalog_tables import LINES_SQL, document_lines, harvested_records
 from citestat.plans.catalog_text import clean_sql
 from citestat.plans.registry import register, rounded, rounded_sql
+from citestat.session import save_and_reload
 from citestat.sources import read_table
 
 # One article per document; its lines are the references. Where two readings are compared, the
@@ -392,10 +393,18 @@ def status_counts(spark, sf):
 
 def job_table(spark, sf):
     keys = ["identifier", "publisher_id", "doi", "article_title"]
-    merged = tables.validated_left_join(manifest(spark, sf), harvested_records(spark, sf), keys)
+    # read by the check of its keys and by the join
+    found = save_and_reload(manifest(spark, sf), "manifest")
+    merged = tables.validated_left_join(found, harvested_records(spark, sf), keys)
     return refs.jobs(merged)
 
 
+def reference_jobs(spark, sf):
+    """The job table without the records' own references, saved: it is read more than once, or joined with all TEI references."""
+    jobs = job_table(spark, sf)
+    return save_and_reload(jobs.select("identifier", "publisher_id", "doi", "article_title", "lang", "pdf_filename", "year"), "jobs")
+
+
 JOBS_SQL = f"""{MAN_SQL},
 jb AS (SELECT *, 'pl' AS lang, pl AS num FROM man WHERE pl_status = 'ok' UNION ALL SELECT *, 'en', en FROM man WHERE en_status = 'ok')"""
 
@@ -437,7 +446,7 @@ N11_SQL = f"{JOBS_SQL}, {TEI_SQL.split(ART + ',', 1)[1]}"
     tr.id AS cited_id, tr.pub_date AS cited_publication_date FROM jb JOIN tr ON tr.identifier = jb.identifier""",
 )
 def citation_rows(spark, sf):
-    jobs = job_table(spark, sf)
+    jobs = reference_jobs(spark, sf)
     found = refs.tei_references(tei_documents(spark, sf))
     return refs.citation_rows(jobs, found, ["identifier"])
 
@@ -448,7 +457,7 @@ def citation_rows(spark, sf):
     title AS parsed_title, tr.type AS parsed_type FROM jb JOIN tr ON tr.identifier = jb.identifier""",
 )
 def diagnostics(spark, sf):
-    jobs = job_table(spark, sf)
+    jobs = reference_jobs(spark, sf)
     found = _tei_rows(spark, sf).join(jobs.select("identifier", "lang"), "identifier")
     return refs.reference_diagnostics(jobs, found, ["identifier", "lang"]).select(
         "identifier", "publisher_id", "doi", "lang", "citing_title", "tei_ref_position", "raw_reference", "parsed_id",

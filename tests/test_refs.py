@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from citestat.functions import similarity as S
+from citestat.functions import xml
 from citestat.functions.xml import texts
 from citestat.operators import enrich, refs
 
@@ -204,3 +206,15 @@ def test_similarities_of_many_candidates(spark, capsys):
     enrich.diagnostics(enrich.score_candidates(refs_df, cands), ["i"]).filter("accepted").explain()
     plan = capsys.readouterr().out
     assert plan.count("ArrowEvalPython [") == 1 and "levenshtein(" not in plan
+
+
+def test_xml_is_read_some_documents_at_a_time(monkeypatch):
+    made = []
+    monkeypatch.setattr(xml.F, "arrow_udf", lambda f, kind: made.append(f) or (lambda c: c))
+    monkeypatch.setattr(xml.F, "col", lambda c: c)
+    monkeypatch.setattr(xml, "SLICE_BYTES", 100)
+    xml.parsed("xml", lambda root: root.text, "string", broken="bad")
+    documents = [f"<a>{'x' * 60}{i}</a>" for i in range(10)] + [None, "<a>", "<a>" + "y" * 500 + "</a>"]
+    parts = list(made[0](iter([pa.array(documents), pa.array([], pa.string()), pa.array(["<a/>"])])))
+    assert max(map(len, parts)) == 1
+    assert [x for p in parts for x in p.to_pylist()] == [f"{'x' * 60}{i}" for i in range(10)] + [None, "bad", "y" * 500, None]
