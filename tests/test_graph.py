@@ -1,9 +1,11 @@
 import random
 from contextlib import redirect_stdout
 from io import StringIO
+from threading import Barrier
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 import models
 from citestat import session
@@ -103,6 +105,22 @@ def test_node_metrics_and_subgraph(spark):
     assert sorted(map(tuple, graph.induced_by_top(e, ranks, 3).collect())) == want
 
 
+def test_loops_of_node_metrics_run_side_by_side(spark, monkeypatch):
+    together = Barrier(4, timeout=60)
+
+    def loop(*columns):
+        def run(edges):
+            together.wait()
+            return graph.degrees(edges).select("node", *[F.lit(i).alias(c) for i, c in enumerate(columns)])
+
+        return run
+
+    for name, columns in {"pagerank": ["pagerank"], "hits": ["hub", "authority"], "core_numbers": ["core"], "communities": ["community"]}.items():
+        monkeypatch.setattr(graph, name, loop(*columns))
+    got = graph.node_metrics(edge_frame(spark, [("a", "b"), ("b", "c")])).select("node", "degree", "authority").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 1), ("b", 2, 1), ("c", 1, 1)]
+
+
 def test_hubs_of_components(spark, monkeypatch):
     # stars of several sizes in a chain, joined by nodes of more edges than a task may join
     monkeypatch.setattr(graph, "HUB", 2)
