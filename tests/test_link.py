@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import models
+from citestat.functions import similarity as S
 from citestat.operators import link
 
 A = "article_omid string, venue_internal_id long, venue_name string, title string, pub_date string, id string, citedby_count string"
@@ -102,6 +105,50 @@ def test_fuzzy_titles_of_unlike_lengths_and_empty_sides(spark):
     assert link.fuzzy_candidates(a, b.limit(0)).count() == link.fuzzy_candidates(a.limit(0), b).count() == 0
 
 
+def test_floor_finds_the_candidates_above_it_by_beginnings(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    right = [" ".join(rng.choice(words) for _ in range(rng.choice([5, 60, 400]))) for _ in range(24)]
+    near = [list(t) for t in right[:8]]
+    for t in near:
+        for _ in range(len(t) // 25):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "ab"])
+    left = ["".join(t) for t in near] + [t[40:] + t[:15] for t in right[8:16]] + ["abc"]
+    rest = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(6)]
+    b = pd.DataFrame({"title_norm": right, "first_id": [f"b{i:02d}" for i in range(len(right))], "copies": 1})
+    for floor in (93.0, 60.0):
+        got = link._tile_scorer(floor)(pd.DataFrame({"title_id": left, "title_norm": left, "known": floor}), b)
+        for t in left:
+            total = np.array([len(t) + len(u) for u in right])
+            ratios = S.ratios_from_common(S.common_subsequences([t] * len(right), right), total)
+            scored = sorted(zip(-ratios, b["first_id"]))
+            want = [(i, pytest.approx(-s)) for s, i in scored[:2] if -s >= floor]
+            assert [(r.first_id, r.score) for r in got[got.title_id == t].itertuples()] == want
+    # unlike titles of the same words are ruled out without scoring a pair
+    monkeypatch.setattr(link, "common_subsequences", lambda x, y: pytest.fail("scored") if x else np.zeros(0))
+    a = pd.DataFrame({"title_id": rest, "title_norm": rest, "known": 93.0})
+    assert link._tile_scorer(93.0)(a, b[b["title_norm"].str.len() > 1000]).empty
+
+
+def test_review_queue_is_counted_without_its_candidates(spark):
+    # b2 names two records in a block, so its review rows come twice; a5 has no year, a6 no partner
+    left = [
+        ("a1", 1, "one title of some length that is matched", "2000", None), ("a2", 1, "unlike anything", "2000", None),
+        ("a3", 2, "second block", "2000", None), ("a4", 2, "third of them", "2000", None), ("a5", 1, "no year", None, None),
+        ("a6", 3, "alone", "2000", None),
+    ]
+    right = [
+        ("b1", 1, "one title of some length that is matchet", "2000", None), ("b2", 2, "third of these", "2000", None),
+        ("b2", 2, "a record of the same id", "2000", None), ("b3", 1, "zzz", "2000", None),
+    ]
+    a, b = sources(spark, left, right)
+    whole, counted = link.link_sources(a, b), link.link_sources(a, b, review=False, count_review=True)
+    want = {r.stage: r.n for r in link.linkage_summary(a, b, whole).collect()}
+    assert {r.stage: r.n for r in link.linkage_summary(a, b, counted).collect()} == want
+    assert want["review candidates"] == whole.review.count() > counted.review.count() > 0
+    assert pairs(counted.matches) == pairs(whole.matches) == [("a1", "b1")]
+
+
 def test_review_round_trip_and_master(spark):
     long = "a quite long title about the reception of translated novels"
     left = [

@@ -131,3 +131,13 @@ def test_common_subsequences_of_many_pairs(monkeypatch, alphabet, cells, small):
     )
     assert S.common_subsequences(a, b).tolist() == [models.lcs(x, y) for x, y in zip(a, b)]
     assert S.common_subsequences([], []).tolist() == []
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcde é漢😀\0"])
+def test_common_subsequences_of_packed_texts(alphabet):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 7, 62, 63, 64, 150]))) for _ in range(40)]
+    packed = S.PackedTexts(texts)
+    for x in [*texts[:15], "unknown z"]:
+        assert packed.common(x).tolist() == [models.lcs(x, y) for y in texts]
+    assert S.PackedTexts(["", ""]).common("ab").tolist() == [0, 0]
