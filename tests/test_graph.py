@@ -47,6 +47,29 @@ def test_hits(spark):
         assert got[n].hub == pytest.approx(hub[n], abs=1e-5) and got[n].authority == pytest.approx(authority[n], abs=1e-5)
 
 
+def test_rounds_of_hits_pass_packed_tiles(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 30, raising=False)
+    rows, plain = [], graph.save_and_reload
+    monkeypatch.setattr(graph, "save_and_reload", lambda df, name="stage": (rows.append(df.count()) if name == "hits" else None) or plain(df, name))
+    # one node is cited by all others
+    edges = sorted(set(random_edges(5, n=40, m=120)) | {(f"n{i:02d}", "hub") for i in range(40)})
+    got = {r.node: r for r in graph.hits(edge_frame(spark, edges)).collect()}
+    hub, authority = models.hits(edges)
+    assert set(got) == set(hub)
+    for n in hub:
+        assert got[n].hub == pytest.approx(hub[n], abs=1e-9) and got[n].authority == pytest.approx(authority[n], abs=1e-9)
+    # a block of nodes is one row
+    assert len(rows) > 1 and max(rows) <= len(edges) // 30 + 1
+
+
+def test_hits_of_repeated_and_loose_edges(spark):
+    e = edge_frame(spark, [("a", "b"), (None, "c"), ("a", "c"), ("a", "c"), ("d", None), ("a", "a")])
+    got = {r.node: (r.hub, r.authority) for r in graph.hits(e).collect()}
+    assert got == {"a": (1, 0.25), "b": (0, 0.25), "c": (0, 0.5), "d": (0, 0), None: (0, 0)}
+    assert graph.hits(e.limit(0)).collect() == []
+    assert {r.hub + r.authority for r in graph.hits(e, max_rounds=0).collect()} == {0}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_and_cores(spark, seed):
     edges = random_edges(seed, n=40, m=35)
