@@ -128,6 +128,15 @@ def test_node_metrics_and_subgraph(spark):
     assert sorted(map(tuple, graph.induced_by_top(e, ranks, 3).collect())) == want
 
 
+def test_metrics_without_settled_hits_are_no_result(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HITS_ROUNDS", 5, raising=False)
+    e = edge_frame(spark, random_edges(3))
+    with pytest.raises(graph.NotConverged):
+        graph.node_metrics(e)
+    with pytest.raises(graph.NotConverged):
+        graph.hits(e)
+
+
 def test_loops_of_node_metrics_run_side_by_side(spark, monkeypatch):
     together = Barrier(4, timeout=60)
 
