@@ -1,6 +1,8 @@
 import random
+import time
 from contextlib import redirect_stdout
 from io import StringIO
+from pathlib import Path
 from threading import Barrier
 from types import SimpleNamespace
 
@@ -137,6 +139,35 @@ def test_metrics_without_settled_hits_are_no_result(spark, monkeypatch):
         graph.hits(e)
 
 
+def test_rounds_leave_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(session, "SWEEP_SHARE", float("inf"), raising=False)
+    folders = [d.toString() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f.name.split("_")[1] for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+    before, calls, plain = shuffles(), [], session.sweep
+    monkeypatch.setattr(graph, "sweep", lambda spark: calls.append(1) or plain(spark))
+    graph.communities(spark.createDataFrame([(i, i + 1) for i in range(14)], "citing long, cited long"))
+    assert len(calls) > 10
+    until = time.monotonic() + 20
+    while len(shuffles() - before) > 8 and time.monotonic() < until:
+        time.sleep(0.2)
+    # a round has two or more
+    assert len(shuffles() - before) <= 8
+
+
+def test_node_metrics_save_edges_and_neighbours_once(spark, monkeypatch):
+    made, plain = [], session.save_and_reload
+    for module in (session, graph):
+        monkeypatch.setattr(module, "save_and_reload", lambda df, name="stage": made.append((name, df.count())) or plain(df, name))
+    edges = random_edges(2, n=9, m=15)
+    graph.node_metrics(edge_frame(spark, edges))
+    both = len({x for a, b in edges for x in ((a, b), (b, a))})
+    assert [n for _, n in made if n == both] == [both]
+    assert [name for name, n in made if n == len(edges) and name != "rank-edges"] == ["graph"]
+
+
 def test_loops_of_node_metrics_run_side_by_side(spark, monkeypatch):
     together = Barrier(4, timeout=60)
 
