@@ -97,3 +97,15 @@ def test_master_and_summary(case):
         "automatic fuzzy matches": len(accepted), "review candidates": len(review), "manually confirmed matches": n_manual,
         "total matched pairs": len(pairs), "open index only": n_a - len(pairs), "second index only": n_b - len(pairs),
     }
+
+
+def test_priority_counts_resolve_every_reviewed_pair(case, monkeypatch):
+    con, lists, plain = case[2], [], C.link.match_manual
+    monkeypatch.setattr(C.link, "match_manual", lambda reviewed, a, b: lists.append(reviewed.count()) or plain(reviewed, a, b))
+    rows = run(case, "W4_priority_one_to_one")
+    pairs, articles = con.execute(
+        "SELECT count(*), count(DISTINCT x.doc_id) FROM documents x JOIN documents y ON x.lang = y.lang AND x.n_chars = y.n_chars "
+        "AND x.source < 'src2' AND y.source >= 'src2'"
+    ).fetchone()
+    assert lists == [pairs] and pairs > articles
+    assert sorted(map(tuple, rows)) == sorted(con.execute(entry.oracle_sql()["W4_priority_one_to_one"]).fetchall())
