@@ -197,3 +197,39 @@ def test_titles_as_digests(spark):
     md5 = lambda t: t and hashlib.md5(t.encode()).hexdigest()
     sha = lambda t: t and hashlib.sha256(t.encode()).hexdigest()
     assert short.count() == 2 and {(r.title_oc, r.title_norm) for r in short.collect()} == {(md5(t), sha(n)) for t, n in plain}
+
+
+def long_sources(spark, n=60, chars=6000):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuwz") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(chars // 5))[:chars].strip()
+    left = [(f"a{i:02d}", 1, text(), "2000", None) for i in range(n)]
+    right = [(f"b{i:02d}", 1, t[:50] + "q" + t[50:] if i % 3 else t, "2000", None) for i, (_, _, t, _, _) in enumerate(left)]
+    return sources(spark, left, right)
+
+
+def test_exact_stages_run_on_digests_and_results_hold_texts(spark, monkeypatch):
+    a, b = long_sources(spark, n=12, chars=400)
+    saved, plain = {}, link.save_and_reload
+    monkeypatch.setattr(link, "save_and_reload", lambda df, name="stage": saved.setdefault(name, plain(df, name)))
+    found = link.link_sources(a, b, review=False)
+    assert {len(r.title_norm_oc) for r in saved["title"].collect()} == {64}
+    texts = {r.article_id_oc: (r.title_oc, r.title_norm) for r in a.collect()} | {r.article_id_scopus: (r.title_scopus, r.title_norm) for r in b.collect()}
+    methods = set()
+    for r in found.master.collect():
+        methods.add(r.match_method)
+        assert (r.title_oc, r.title_norm_oc) == texts[r.article_id_oc] and (r.title_scopus, r.title_norm_sc) == texts[r.article_id_scopus]
+    assert methods == {"title_exact_year", "title_fuzzy_year_auto"} and found.master.count() == 12
+
+
+def test_titles_travel_to_few_tiles_where_there_is_a_floor(spark, monkeypatch):
+    a, b = long_sources(spark)
+    sent, plain = [], link.spread
+    monkeypatch.setattr(link, "spread", lambda df, *keys: sent.append(df.count()) or plain(df, *keys))
+    quick = link.resolve_fuzzy(link.fuzzy_candidates(a, b, floor=93.0))
+    # 60 titles of 6,000 characters on each side, which lie in two classes at most
+    assert sum(sent) <= 2 * (a.count() + b.count())
+    monkeypatch.undo()
+    whole = link.resolve_fuzzy(link.fuzzy_candidates(a, b))
+    rows = lambda df: sorted((r.article_id_oc, r.article_id_scopus, r.best_score) for r in df.filter("accepted").collect())
+    assert rows(quick) == rows(whole) and len(rows(quick)) == 60
